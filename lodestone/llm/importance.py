@@ -32,7 +32,7 @@ from lodestone.llm.common import cut
 BUCKETS = 1 << 15
 SMOOTHING = 50.0
 SAMPLE = 200_000
-"""At most about this many labelled documents form the target model."""
+"""At most about this many labelled documents form the target model; so many ids are broadcast at most."""
 SEED = 17
 
 
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
         return None
     share = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.filter("quality = 1").filter(share < min(1.0, sample / good)).select("doc_id")
-    target = cut(bucket_counts(docs.select("doc_id", "lang", "text").join(chosen, "doc_id", "left_semi")))
+    target = cut(bucket_counts(docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")))
     raw = cut(bucket_counts(docs))
     size = lambda c: {r[0]: r[1] for r in c.groupBy("lang").agg(F.sum("n")).collect()}  # noqa: E731, one row a language
     t, r = size(target), size(raw)
