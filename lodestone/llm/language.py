@@ -168,18 +168,26 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 5) -> Network | Non
     bound = F.lit(0.0)
     for k, n in counts.items():
         bound = F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))).otherwise(bound)
-    rows = sorted(some.filter(share < bound).select("doc_id", "lang", "text").collect(), key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], r["text"]))
-    languages = sorted(counts)
-    xs, ys = [], []
-    for r in rows:
-        b = np.frombuffer(r["text"].encode(), np.uint8)
-        x, _, _ = windows(b, np.array([0, len(b)]))
-        pick = np.unique(np.linspace(0, len(x) - 1, min(len(x), SAMPLE_WINDOWS)).astype(int))
-        xs.append(x[pick])
-        ys.append(np.full(len(pick), languages.index(r["lang"])))
-    if not xs:
+    taken = some.filter(share < bound).select("lang", "text").mapInArrow(batches(_spread_windows), "lang string, x binary")
+    rows = sorted((r["lang"], bytes(r["x"])) for r in taken.collect())  # SAMPLE * SAMPLE_WINDOWS windows a language, about
+    if not rows:
         return None
-    return Network(languages).fit(np.concatenate(xs), np.concatenate(ys))
+    languages = sorted(counts)
+    x = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, WINDOW)
+    return Network(languages).fit(x, np.array([languages.index(r[0]) for r in rows]))
+
+
+def _spread_windows(b: pa.RecordBatch) -> pa.RecordBatch:
+    """(lang, x): SAMPLE_WINDOWS windows of each text at most, evenly spread over it."""
+    data, offsets = K.text_buffer(b.column(1))
+    langs, out = [], []
+    for k, lang in enumerate(b.column(0).to_pylist()):
+        d = data[offsets[k] : offsets[k + 1]]
+        x, _, _ = windows(d, np.array([0, len(d)]))
+        pick = np.unique(np.linspace(0, len(x) - 1, min(len(x), SAMPLE_WINDOWS)).astype(int)) if len(x) else []
+        out += [x[i].tobytes() for i in pick]
+        langs += [lang] * len(pick)
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "x"])
 
 
 def identify(docs: DataFrame, network: Network | None = None, least: float = LEAST) -> DataFrame:

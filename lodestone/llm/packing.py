@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTEXT = 2048
+BLANKS = " \t\n\r\f"
 TOKEN = "[ \t\n\r\f]*[^ \t\n\r\f]+[ \t\n\r\f]*"
 
 
@@ -34,7 +35,9 @@ def pieces(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
     """
     if context < 1 or context & (context - 1):
         raise ValueError("the context must be a power of two")
-    words = docs.select("doc_id", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("w")).filter(F.size("w") > 0)
+    # a blank text is left out before the search, which would go over its white space again from each place
+    some = docs.select("doc_id", "text").filter(F.length(F.btrim("text", F.lit(BLANKS))) > 0)
+    words = some.select("doc_id", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("w"))
     split = words.select("doc_id", "w", _lengths(F.size("w"), context).alias("l"))
     # the pieces before the remainder all have the context's length, the others come from high to low bits
     whole = F.floor(F.size("w") / context).cast("int")

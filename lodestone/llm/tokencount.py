@@ -36,6 +36,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN = 10.0
 _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+CACHED_LETTERS = 64
 CACHE = 400_000
 """Distinct parts a worker remembers; beyond that it begins anew, which changes no count."""
 
@@ -97,6 +98,8 @@ class Counter:
         return count[n]
 
     def _known(self, part: str) -> int:
+        if len(part) > CACHED_LETTERS:
+            return self.part(part)
         c = self.seen.get(part)
         if c is None:
             c = self.seen[part] = self.part(part)
@@ -129,9 +132,12 @@ class Counter:
                 total += sum(map(words.__getitem__, own))
             except KeyError:
                 for w in own:
-                    if w not in words:
-                        words[w] = self.part(SPACE + w)
-                total += sum(map(words.__getitem__, own))
+                    c = words.get(w)
+                    if c is None:
+                        c = self.part(SPACE + w)
+                        if len(w) <= CACHED_LETTERS:
+                            words[w] = c
+                    total += c
         return total
 
 

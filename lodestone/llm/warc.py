@@ -5,8 +5,9 @@ dictionary; every record follows as a frame of its own, so a reader that has
 the dictionary and an offset reads one record alone. The dictionary is built
 from the records that the file holds, all of them.
 
-Pages are assigned to files by a hash of their url, so a file's content doesn't
-depend on how the input is laid out, and a task that is run again gives the same bytes.
+Pages are assigned to files by a hash of url and page_id, so a file's content
+doesn't depend on how the input is laid out, a task that is run again gives the
+same bytes, and pages that share a url (or have none) are spread.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def frames(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     """
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html") + F.lit(400)), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // file_bytes))
-    rows = pages.select(F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(n)).cast("int").alias("file"), F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
+    rows = pages.select(F.pmod(F.xxhash64("url", "page_id"), F.lit(n)).cast("int").alias("file"), F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, ids, raw = None, [], []
