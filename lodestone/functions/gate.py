@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lodestone.functions import tables as T
 from lodestone.functions.text import content, tokenize
@@ -59,7 +60,7 @@ def supported(claim: str, passage: str) -> bool:
     return all(c.count(m) >= inside.count(m) for m in T.POLARITY.intersection(inside))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def supported_udf(claim: pd.Series, passage: pd.Series) -> pd.Series:
     return pd.Series([supported(c or "", p or "") for c, p in zip(claim, passage, strict=True)])
 

@@ -16,6 +16,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from lodestone.functions import tables as T
 
@@ -97,12 +98,12 @@ def tokenize(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def tokens_unicode(text: pd.Series) -> pd.Series:
     return text.map(lambda t: tokenize(t or ""))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def scripts(text: pd.Series) -> pd.Series:
     return text.map(lambda t: scripts_in(t or ""))
 
@@ -192,7 +193,7 @@ def split_claims(text: str) -> list[str]:
     return claims
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def claims(text: pd.Series) -> pd.Series:
     return text.map(lambda t: split_claims(t or ""))
 
@@ -234,7 +235,7 @@ def chunk(text: str, most: int = 450, overlap: int = 60) -> list[str]:
 
 
 def chunks(most: int = 450, overlap: int = 60):
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def f(text: pd.Series) -> pd.Series:
         return text.map(lambda t: chunk(t or "", most, overlap))
 

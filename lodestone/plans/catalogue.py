@@ -1,4 +1,595 @@
-"""All queries by name, and the SQL that each is held against."""
+"""All queries by name, and the SQL that each is held against.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Every query reads whole tables; limits stand only where they are the feature
+(top-k lists, the memory's ring, the crawl's budget).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as X
+from lodestone.operators import answer, authority, conflict, graph, grounding, jobs, language, memory, retrieval, state, structure, telemetry, units, wiki
+from lodestone.plans import sql as S
+from lodestone.sources import extract, web
+from lodestone.streaming import telemetry as stream_telemetry
+
+K = 10
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def last_sentence(text: Column) -> Column:
+    parts = F.filter(F.regexp_extract_all(text, F.lit("[^.!?]+"), F.lit(0)), lambda s: F.trim(s) != "")
+    return F.coalesce(F.get(F.reverse(parts), F.lit(0)), F.lit(""))
+
+
+def questions(spark: SparkSession, d: str, how: Callable[[Column], Column] = X.first_sentence) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), how(F.col("text")).alias("question"))
+
+
+def _lists(spark: SparkSession, d: str) -> list[DataFrame]:
+    docs = table(spark, d, "documents")
+    return [retrieval.bm25(questions(spark, d, how), docs, K) for how in (X.first_sentence, last_sentence)]
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(questions(spark, d), table(spark, d, "documents"), K)
+
+
+# tokens and units
+
+
+@query(f"SELECT term, count(*) AS n FROM (SELECT unnest({S.ascii_tokens('text')}) AS term FROM documents) GROUP BY term")
+def term_counts(spark, d):
+    return table(spark, d, "documents").select(F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT term, count(*) AS n FROM (SELECT unnest({S.tokens('text')}) AS term FROM documents) GROUP BY term")
+def term_counts_unicode(spark, d):
+    return table(spark, d, "documents").select(F.explode(X.tokens_latin(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, CAST(len(c) AS BIGINT) AS n, array_to_string(list_sort(c), ' ') AS tokens FROM (SELECT doc_id, {S.content(S.tokens('text'))} AS c FROM documents)")
+def content_tokens(spark, d):
+    c = X.content(X.tokens_latin(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", F.size(c).cast("bigint").alias("n"), F.array_join(F.array_sort(c), " ").alias("tokens"))
+
+
+@query(f"SELECT count(*) AS n_docs, round(avg(len({S.tokens('text')})), 6) AS avg_len FROM documents")
+def doc_stats(spark, d):
+    s = retrieval.doc_stats(table(spark, d, "documents"), X.tokens_latin(F.col("text")))
+    return s.select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("block"), "text")
+
+
+@query("SELECT doc_id || '::0' AS eu_id, CAST(doc_id AS VARCHAR) AS document_id, sha256(text) AS checksum, CAST(length(text) AS BIGINT) AS n_chars FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''")
+def evidence_units(spark, d):
+    u = units.from_blocks(_blocks(spark, d))
+    return u.select("eu_id", "document_id", "checksum", F.length("passage").cast("bigint").alias("n_chars"))
+
+
+@query()
+def chunk_units(spark, d):
+    return units.chunked(_blocks(spark, d)).select("eu_id", "document_id", "chunk", F.sha2("passage", 256).alias("checksum"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS document_id, 'o_orderkey: ' || o_orderkey || ', o_orderstatus: ' || o_orderstatus || ', o_orderpriority: ' || o_orderpriority AS text FROM orders")
+def table_rows(spark, d):
+    rows = units.rendered(table(spark, d, "orders"), "o_orderkey", ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+    return rows.select(F.col("document_id").cast("string").alias("document_id"), "text")
+
+
+# retrieval
+
+
+@query(f"SELECT * FROM {S.bm25(S.questions(), K)}")
+def bm25_topk(spark, d):
+    return _candidates(spark, d).select("question_id", "doc_id", "score", "rank")
+
+
+def _centroids(spark: SparkSession, d: str) -> DataFrame:
+    """A query for each label: the mean of its vectors."""
+    each = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    means = each.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    q = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("q"))
+    return q.select(F.col("label").alias("question_id"), "q")
+
+
+_NEAR = """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+m AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY label, i),
+q AS (SELECT label AS question_id, list(m ORDER BY i) AS q FROM m GROUP BY label),
+s AS (SELECT question_id, vec_id, round({distance}, 6) AS distance FROM e, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, vec_id) AS rank FROM s)
+SELECT question_id, vec_id, distance, rank FROM r WHERE rank <= {k}"""
+
+
+@query(_NEAR.format(distance="list_sum(list_transform(list_zip(v, q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))", k=K))
+def vector_topk_l2(spark, d):
+    return retrieval.vector_top(_centroids(spark, d), table(spark, d, "embeddings"), K).select("question_id", "vec_id", "distance", "rank")
+
+
+@query(_NEAR.format(distance="1 - list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q)))", k=K))
+def vector_topk_cosine(spark, d):
+    return retrieval.vector_top(_centroids(spark, d), table(spark, d, "embeddings"), K, "cosine").select("question_id", "vec_id", "distance", "rank")
+
+
+@query("SELECT 'fit' AS reason, count(*) AS n FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0")
+def vector_check(spark, d):
+    reason = F.coalesce(retrieval.vector_reason(F.col("embedding"), 64), F.lit("fit"))
+    return table(spark, d, "embeddings").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT question_id, doc_id, score, best_list, rank FROM {S.fused(K)} WHERE rank <= {K}")
+def rrf_hybrid(spark, d):
+    return retrieval.top(retrieval.fuse(_lists(spark, d)), K).select("question_id", "doc_id", "score", "best_list", "rank")
+
+
+@query(f"""
+WITH f AS (SELECT * FROM {S.fused(K)}), q AS (SELECT question_id, {S.content(S.tokens("question"))} AS qc FROM {S.questions()}),
+s AS (SELECT f.question_id, f.doc_id, f.rank, CASE WHEN rank <= {retrieval.RERANK_HEAD} THEN round(len(list_intersect(qc, {S.tokens("text")})) / greatest(len(qc), 1), 6) ELSE -1.0 END AS score
+  FROM f JOIN q USING (question_id) JOIN documents USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) AS place FROM s)
+SELECT question_id, doc_id, CAST(score AS DOUBLE) AS score, place FROM r WHERE place <= {K}""")
+def rerank_overlap(spark, d):
+    return retrieval.rerank(retrieval.fuse(_lists(spark, d)), questions(spark, d), table(spark, d, "documents"), K)
+
+
+# grounding
+
+
+@query(f"""
+SELECT question_id, doc_id, rank, len(list_intersect({S.content(S.tokens("question"))}, {S.content(S.tokens("text"))})) > 0 AS relevant
+FROM {S.bm25(S.questions(), K)} JOIN {S.questions()} USING (question_id) JOIN documents USING (doc_id)""")
+def relevance_gate(spark, d):
+    return answer.relevant(_candidates(spark, d), questions(spark, d), table(spark, d, "documents")).select("question_id", "doc_id", "rank", "relevant")
+
+
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
+
+
+def _covering(least: float) -> str:
+    return f"""
+WITH c AS (SELECT item_id AS claim_id, {S.content(S.tokens("text"))} AS c FROM benchmark), t AS (SELECT doc_id, {S.tokens("text")} AS t FROM documents),
+p AS (SELECT claim_id, doc_id, round(len(list_intersect(c, t)) / len(c), 6) AS coverage FROM c, t WHERE len(c) > 0)
+SELECT claim_id, doc_id, coverage FROM p WHERE coverage >= {least}"""
+
+
+@query(_covering(1.0))
+def containment(spark, d):
+    return grounding.coverage_pairs(_claims(spark, d), table(spark, d, "documents"))
+
+
+@query(_covering(0.8))
+def cite_check_coverage(spark, d):
+    return grounding.coverage_pairs(_claims(spark, d), table(spark, d, "documents"), 0.8)
+
+
+@query()
+def claims(spark, d):
+    return grounding.claim_rows(table(spark, d, "benchmark"))
+
+
+@query()
+def gate_ordered(spark, d):
+    return grounding.gated(_claims(spark, d), table(spark, d, "documents"))
+
+
+@query(f"""
+WITH c AS (SELECT item_id AS claim_id, {S.content(S.tokens("text"))} AS c FROM benchmark),
+e AS (SELECT claim_id, doc_id, rank, len(list_filter(c, lambda w: NOT list_contains({S.tokens("text")}, w))) AS n_missing, len(c) AS n
+  FROM {S.bm25(S.questions(), K)} b JOIN c ON b.question_id = c.claim_id JOIN documents USING (doc_id)),
+r AS (SELECT *, n_missing = 0 AND n > 0 AS supported FROM e)
+SELECT claim_id, doc_id, supported, CAST(n_missing AS BIGINT) AS n_missing FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY NOT supported, n_missing, rank) AS p FROM r) WHERE p = 1""")
+def verify_report(spark, d):
+    cited = _candidates(spark, d).withColumnRenamed("question_id", "claim_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return grounding.verify(_claims(spark, d), cited)
+
+
+# standing and contradictions
+
+
+def _tiers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("tier_rank"))
+
+
+_STANDING = f"""
+WITH c AS (SELECT b.*, coalesce(t.tier, -1) AS tier_rank FROM {S.bm25(S.questions(), K)} b LEFT JOIN (SELECT doc_id, max(quality) AS tier FROM labels GROUP BY doc_id) t USING (doc_id))
+SELECT question_id, doc_id, tier_rank, row_number() OVER (PARTITION BY question_id ORDER BY tier_rank DESC, rank) AS place FROM c"""
+
+
+@query(_STANDING)
+def authority_order(spark, d):
+    return authority.select(_candidates(spark, d), _tiers(spark, d)).select("question_id", "doc_id", "tier_rank", "place")
+
+
+@query(_STANDING + " WHERE tier_rank >= 1")
+def authority_floor(spark, d):
+    return authority.select(_candidates(spark, d), _tiers(spark, d), "strict", 1).select("question_id", "doc_id", "tier_rank", "place")
+
+
+@query()
+def conflict_pairs(spark, d):
+    """Statements of list prices, in groups by brand and type."""
+    said = F.format_string("The list price of %s parts of brand %s is %s usd", F.lower("p_type"), F.col("p_brand"), F.col("p_retailprice").cast("string"))
+    order = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")
+    rows = table(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("group"), (F.row_number().over(order) - 1).alias("position"), said.alias("text"))
+    return conflict.conflicts(rows)
+
+
+@query()
+def near_duplicates(spark, d):
+    return conflict.near_duplicates(table(spark, d, "documents"))
+
+
+# graph, structure, wiki
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("unit"), "text")
+
+
+_TERMS = "list_filter(" + S.content(S.ascii_tokens("text")) + ", lambda w: length(w) >= 4)"
+_EDGES = f"""(WITH u AS (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark)
+SELECT a.t AS source, b.t AS target, count(*) AS weight FROM u a JOIN u b ON a.item_id = b.item_id AND a.t < b.t GROUP BY a.t, b.t)"""
+
+
+@query(f"SELECT label, count(*) AS n_units, min(doc_id) AS first_unit FROM (SELECT doc_id, unnest({_TERMS}) AS label FROM documents) GROUP BY label")
+def graph_nodes(spark, d):
+    return graph.nodes(table(spark, d, "documents").select(F.col("doc_id").alias("unit"), "text"))
+
+
+@query(f"SELECT * FROM {_EDGES}")
+def comention_edges(spark, d):
+    return graph.edges(_passages(spark, d))
+
+
+@query(f"""
+WITH q AS (SELECT question_id, unnest({S.content(S.ascii_tokens("question"))}) AS term FROM {S.questions()}),
+u AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+s AS (SELECT question_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM u JOIN q USING (term) GROUP BY question_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT question_id, doc_id, score, rank FROM r WHERE rank <= {K}""")
+def graph_retrieve(spark, d):
+    return graph.retrieve(questions(spark, d), table(spark, d, "documents"), K).select("question_id", "doc_id", "score", "rank")
+
+
+_NEEDLES = f"(SELECT DISTINCT list_sort({S.content(S.ascii_tokens('question'))})[1] AS needle FROM {S.questions()})"
+
+
+@query(f"""
+WITH e AS (SELECT * FROM {_EDGES}), l AS (SELECT source AS label FROM e UNION SELECT target FROM e),
+c AS (SELECT needle, min(label) AS label FROM l, {_NEEDLES} n WHERE contains(label, needle) GROUP BY needle),
+b AS (SELECT source AS label, target AS neighbor, weight FROM e UNION ALL SELECT target, source, weight FROM e)
+SELECT needle, label, neighbor, weight FROM c JOIN b USING (label)""")
+def graph_neighbors(spark, d):
+    needles = questions(spark, d).select(F.get(F.array_sort(X.content(X.tokens(F.col("question")))), F.lit(0)).alias("needle")).filter("needle IS NOT NULL").distinct()
+    return graph.neighbors(needles, graph.edges(_passages(spark, d)))
+
+
+def _outline(spark: SparkSession, d: str) -> DataFrame:
+    """A document a region: the region, its nations, their suppliers."""
+    r, n, s = (table(spark, d, x) for x in ("region", "nation", "supplier"))
+    regions = r.select(F.col("r_regionkey").alias("document_id"), F.lit(-1).alias("a"), F.lit(-1).cast("bigint").alias("b"), F.lit(1).alias("level"), F.col("r_name").alias("label"))
+    nations = n.select("n_regionkey", "n_nationkey", F.lit(-1).cast("bigint"), F.lit(2), "n_name")
+    suppliers = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("n_regionkey", "n_nationkey", "s_suppkey", F.lit(3), "s_name")
+    rows = regions.union(nations).union(suppliers)
+    return rows.select("document_id", F.row_number().over(Window.partitionBy("document_id").orderBy("a", "b")).alias("position"), "level", "label")
+
+
+_OUTLINE = """
+o AS (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY a, b) AS INTEGER) AS position, level, label FROM (
+  SELECT r_regionkey AS document_id, -1 AS a, -1 AS b, 1 AS level, r_name AS label FROM region
+  UNION ALL SELECT n_regionkey, n_nationkey, -1, 2, n_name FROM nation
+  UNION ALL SELECT n_regionkey, n_nationkey, s_suppkey, 3, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)),
+p AS (SELECT o.*, (SELECT max(x.position) FROM o x WHERE x.document_id = o.document_id AND x.position < o.position AND x.level < o.level) AS parent FROM o)"""
+
+
+@query(f"WITH {_OUTLINE} SELECT document_id, position, level, label, parent FROM p")
+def structure_parents(spark, d):
+    return structure.parents(_outline(spark, d)).select("document_id", "position", "level", "label", "parent")
+
+
+@query(f"""
+WITH RECURSIVE {_OUTLINE},
+up AS (SELECT document_id, position, position AS ancestor, parent AS next FROM p UNION ALL SELECT u.document_id, u.position, p.position, p.parent FROM up u JOIN p ON p.document_id = u.document_id AND p.position = u.next),
+q AS (SELECT n_nationkey AS question_id, unnest(list_distinct({S.tokens("n_name")})) AS term FROM nation),
+h AS (SELECT question_id, document_id, position AS ancestor, count(*) AS hits FROM (SELECT document_id, position, unnest(list_distinct({S.tokens("label")})) AS term FROM o) l JOIN q USING (term) GROUP BY ALL),
+s AS (SELECT question_id, document_id || '::' || position AS node, CAST(max(hits) AS DOUBLE) AS score FROM h JOIN up USING (document_id, ancestor) GROUP BY question_id, document_id, position),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node) AS rank FROM s)
+SELECT question_id, node, score, rank FROM r WHERE rank <= {K}""")
+def structure_retrieve(spark, d):
+    q = table(spark, d, "nation").select(F.col("n_nationkey").alias("question_id"), F.col("n_name").alias("question"))
+    return structure.retrieve(q, structure.parents(_outline(spark, d)), K).select("question_id", "node", "score", "rank")
+
+
+def _wiki_units(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("source").alias("page_id"), F.col("doc_id").alias("unit"), "text")
+
+
+_PAGES = f"""
+early AS (SELECT source AS page_id, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE trim(text) <> ''),
+joined AS (SELECT page_id, trim(string_agg(left(text, {wiki.SUMMARY + 1}), ' ' ORDER BY r)) AS t FROM early WHERE r <= {wiki.SUMMARY} GROUP BY page_id),
+summary AS (SELECT page_id, CASE WHEN length(t) <= {wiki.SUMMARY} THEN t ELSE rtrim(left(t, {wiki.SUMMARY - 1})) || '.' END AS summary FROM joined),
+tf AS (SELECT page_id, term, count(*) AS n FROM (SELECT source AS page_id, unnest({S.ascii_tokens("text")}) AS term FROM documents) WHERE term NOT IN {S.STOP} GROUP BY ALL),
+words AS (SELECT page_id, list(term ORDER BY n DESC, term) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, term) AS r FROM tf) WHERE r <= {wiki.KEYWORDS} GROUP BY page_id),
+pages AS (SELECT page_id, summary, keywords, n_units FROM (SELECT source AS page_id, count(*) AS n_units FROM documents GROUP BY source) LEFT JOIN summary USING (page_id) LEFT JOIN words USING (page_id))"""
+
+
+@query(f"WITH {_PAGES} SELECT page_id, page_id AS title, summary, keywords, n_units FROM pages")
+def wiki_pages(spark, d):
+    return wiki.pages(_wiki_units(spark, d))
+
+
+def _links(page: DataFrame) -> DataFrame:
+    """Each page links to the next one by name; the last one to a page that doesn't exist."""
+    return page.select("page_id", F.coalesce(F.lead("page_id").over(Window.orderBy("page_id")), F.lit("none")).alias("target"))
+
+
+@query(f"""
+WITH {_PAGES}, links AS (SELECT page_id, lead(page_id) OVER (ORDER BY page_id) AS target FROM pages),
+q AS (SELECT question_id, unnest({S.content(S.ascii_tokens("question"))}) AS term FROM {S.questions()}),
+t AS (SELECT page_id, unnest(list_distinct(keywords || {S.ascii_tokens("page_id")} || {S.ascii_tokens("summary")})) AS term FROM pages),
+h AS (SELECT question_id, page_id, CAST(count(*) AS DOUBLE) AS score FROM t JOIN q USING (term) GROUP BY ALL),
+b AS (SELECT question_id, page_id, max(score) AS score FROM (SELECT * FROM h UNION ALL SELECT question_id, target, score / 2 FROM h JOIN links USING (page_id)) GROUP BY ALL),
+s AS (SELECT question_id, doc_id, max(score) AS score FROM b JOIN documents ON source = page_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT question_id, doc_id, score, rank FROM r WHERE rank <= {K}""")
+def wiki_retrieve(spark, d):
+    page = wiki.pages(_wiki_units(spark, d))
+    return wiki.retrieve(questions(spark, d), page, _links(page.select("page_id")), _wiki_units(spark, d).select("page_id", "unit"), K).select("question_id", "doc_id", "score", "rank")
+
+
+@query("""
+WITH p AS (SELECT DISTINCT source AS page_id FROM documents), l AS (SELECT page_id, coalesce(lead(page_id) OVER (ORDER BY page_id), 'none') AS target FROM p)
+SELECT 'dangling_link' AS issue, page_id, target AS ref FROM l WHERE target NOT IN (SELECT page_id FROM p)
+UNION ALL SELECT 'orphan_page', page_id, NULL FROM p WHERE page_id NOT IN (SELECT target FROM l)
+UNION ALL SELECT 'missing_unit', source, CAST(doc_id * 2 AS VARCHAR) FROM documents WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)""")
+def wiki_lint(spark, d):
+    docs = table(spark, d, "documents")
+    page = docs.select(F.col("source").alias("page_id")).distinct()
+    refs = docs.select(F.col("source").alias("page_id"), (F.col("doc_id") * 2).alias("ref"))
+    return wiki.lint(page, _links(page), refs, docs.select(F.col("doc_id").alias("unit")))
+
+
+# state
+
+
+def _manifest(spark: SparkSession, d: str, text: Column | str = "text") -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "lang", "source", state.checksum(F.col(text) if isinstance(text, str) else text).alias("checksum"))
+
+
+def _was() -> Column:
+    """Another text for the English documents."""
+    return F.when(F.col("lang") == "en", F.upper("text")).otherwise(F.col("text"))
+
+
+@query("SELECT doc_id, sha256(text) AS checksum FROM documents WHERE lang = 'fr' OR lang = 'en' AND upper(text) <> text")
+def manifest_changed(spark, d):
+    """Against a manifest without the French documents and with others' text for the English ones."""
+    before = _manifest(spark, d, _was()).filter("lang <> 'fr'")
+    return state.changed(_manifest(spark, d), before).select("doc_id", "checksum")
+
+
+@query("SELECT sha256(text) AS checksum, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+def blob_owners(spark, d):
+    return state.owners(_manifest(spark, d))
+
+
+@query("SELECT DISTINCT sha256(upper(text)) AS checksum FROM documents WHERE lang = 'en' AND sha256(upper(text)) NOT IN (SELECT sha256(text) FROM documents)")
+def purge_superseded(spark, d):
+    return state.purgeable(_manifest(spark, d, _was()).filter("lang = 'en'"), _manifest(spark, d))
+
+
+@query("""
+SELECT doc_id, CASE WHEN lang = 'fr' THEN 'orphan' WHEN lang = 'es' THEN 'missing' WHEN lang = 'de' THEN 'superseded_version' ELSE 'content_mismatch' END AS status
+FROM documents WHERE lang IN ('fr', 'es') OR lang = 'de' AND lower(text) <> text OR lang = 'en' AND upper(text) NOT IN (text, lower(text))""")
+def reconcile(spark, d):
+    """The index lacks the Spanish documents and holds others' text for German (an earlier declared version) and English ones; French ones aren't declared."""
+    docs = table(spark, d, "documents")
+    held = F.when(F.col("lang") == "de", F.lower("text")).when(F.col("lang") == "en", F.upper("text")).otherwise(F.col("text"))
+    index = docs.filter("lang <> 'es'").select("doc_id", state.checksum(held).alias("checksum"))
+    known = docs.filter("lang <> 'fr'")
+    now = known.select("doc_id", state.checksum(F.col("text")).alias("checksum"), F.lit(True).alias("current"))
+    old = known.select("doc_id", state.checksum(F.lower("text")).alias("checksum"), F.lit(False).alias("current"))
+    return state.reconcile(index, now.unionByName(old))
+
+
+@query("""
+WITH m AS (SELECT doc_id, source, sha256(text) AS c FROM documents), g AS (SELECT * FROM m WHERE source = 'src0'), r AS (SELECT * FROM m WHERE source <> 'src0')
+SELECT 'units' AS layer, count(*) AS n FROM g
+UNION ALL SELECT 'blobs', count(DISTINCT c) FROM g WHERE c NOT IN (SELECT c FROM r)
+UNION ALL SELECT 'shared_blobs', count(DISTINCT c) FROM g WHERE c IN (SELECT c FROM r)""")
+def revoke_source(spark, d):
+    m = _manifest(spark, d)
+    return state.revoke(m, m.filter("source = 'src0'").select("doc_id"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents WHERE lang = 'en' OR lang = 'de' AND source = 'src1' GROUP BY lang, source")
+def partition_scope(spark, d):
+    allowed = spark.createDataFrame([("en", None), ("de", "src1")], "lang string, source string")
+    return state.in_scope(table(spark, d, "documents").select("lang", "source", "doc_id"), allowed, ["lang", "source"]).groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH RECURSIVE e(up, down) AS (VALUES "
+    + ", ".join(f"('{a}', '{b}')" for a, bs in state.LAYERS.items() for b in bs)
+    + "), reach AS (SELECT layer AS seed, layer FROM (VALUES "
+    + ", ".join(f"('{a}')" for a in state.LAYERS)
+    + ") s(layer) UNION SELECT r.seed, e.down FROM reach r JOIN e ON r.layer = e.up) SELECT seed, layer FROM reach"
+)
+def rebuild_closure(spark, d):
+    return state.closure(spark)
+
+
+@query("SELECT doc_id AS eu_id, sha256(CASE WHEN lang = 'en' THEN upper(text) ELSE text END) AS checksum FROM documents UNION ALL SELECT -1 - doc_id, sha256(text) FROM documents WHERE lang = 'fr'")
+def upsert_units(spark, d):
+    """English units are replaced, French ones are added a second time under new ids."""
+    docs = table(spark, d, "documents")
+    target = docs.select(F.col("doc_id").alias("eu_id"), state.checksum(F.col("text")).alias("checksum"))
+    source = docs.filter("lang = 'en'").select(F.col("doc_id").alias("eu_id"), state.checksum(F.upper("text")).alias("checksum"))
+    more = docs.filter("lang = 'fr'").select((-1 - F.col("doc_id")).alias("eu_id"), state.checksum(F.col("text")).alias("checksum"))
+    return state.upsert(target, source.unionByName(more))
+
+
+# answers
+
+
+@query()
+def ask_strict(spark, d):
+    docs = table(spark, d, "documents")
+    return answer.ask_strict(questions(spark, d), retrieval.top(retrieval.fuse(_lists(spark, d)), K), docs)
+
+
+@query()
+def ask_curated(spark, d):
+    """Only documents of good standing may be cited."""
+    docs = table(spark, d, "documents")
+    return answer.ask_strict(questions(spark, d), retrieval.top(retrieval.fuse(_lists(spark, d)), K), docs, _tiers(spark, d), 1)
+
+
+@query()
+def refusal_reasons(spark, d):
+    return ask_curated(spark, d).groupBy("decision", "reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def ask_deep(spark, d):
+    hops = [questions(spark, d, how) for how in (X.first_sentence, last_sentence)]
+    drafts = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("draft"))
+    return answer.ask_deep(hops, drafts, table(spark, d, "documents"))
+
+
+@query()
+def evaluate_report(spark, d):
+    golden = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("expected"))
+    return answer.evaluate(ask_strict(spark, d), golden)
+
+
+@query("""
+SELECT item_id, CAST(n - 1 AS INTEGER) AS chunk_no, chunk FROM (SELECT item_id, unnest(c) AS chunk, generate_subscripts(c, 1) AS n FROM
+  (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]?'), lambda s: trim(s)), lambda s: s <> '') AS c FROM benchmark))""")
+def stream_chunks(spark, d):
+    return answer.stream(table(spark, d, "benchmark"), "item_id", "text")
+
+
+# memory, telemetry, language, work
+
+
+_EXCHANGES = """
+w AS (SELECT *, lead(role) OVER v AS nr, lead(text) OVER v AS answer FROM conversations WINDOW v AS (PARTITION BY conv_id ORDER BY turn)),
+x AS (SELECT conv_id, turn AS idx, text AS question, answer FROM w WHERE role = 'user' AND nr = 'assistant')"""
+
+
+@query(f"WITH {_EXCHANGES} SELECT conv_id, idx, question, answer FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY idx DESC) AS n FROM x) WHERE n <= {memory.RING}")
+def memory_ring(spark, d):
+    return memory.ring(memory.exchanges(table(spark, d, "conversations")))
+
+
+@query(f"""
+WITH {_EXCHANGES}, q AS (SELECT conv_id, arg_max(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id),
+h AS (SELECT conv_id, idx, len(list_intersect({S.content(S.ascii_tokens("query"))}, {S.ascii_tokens("question || ' ' || answer")})) AS hits FROM x JOIN q USING (conv_id)),
+k AS (SELECT *, max(hits) OVER (PARTITION BY conv_id) AS most FROM h),
+r AS (SELECT conv_id, idx, hits, row_number() OVER (PARTITION BY conv_id ORDER BY hits DESC, idx DESC) AS rank FROM k WHERE hits > 0 OR most = 0)
+SELECT * FROM r WHERE rank <= {memory.RECALL}""")
+def memory_recall(spark, d):
+    conv = table(spark, d, "conversations")
+    q = conv.filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("query"))
+    return memory.recall(q, memory.exchanges(conv))
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.from_log(table(spark, d, "events"))
+
+
+_COST = "CASE event_type WHEN 'click' THEN value / 1000 * 0.02::DOUBLE WHEN 'purchase' THEN value / 1000 * 0.5::DOUBLE WHEN 'signup' THEN 0::DOUBLE ELSE value * 0.0001::DOUBLE END"
+_BY_STAGE = f"SELECT event_type AS stage, round(sum({_COST}), 4) AS cost, count(*) AS n FROM events GROUP BY 1"
+
+
+@query(_BY_STAGE)
+def cost_by_stage(spark, d):
+    return telemetry.rollup(_log(spark, d), "stage")
+
+
+@query(f"SELECT json_extract_string(props, '$.k') AS document, event_type AS stage, round(sum({_COST}), 4) AS cost, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1, 2")
+def cost_by_document(spark, d):
+    return telemetry.rollup(_log(spark, d), "document", "stage")
+
+
+@query(f'SELECT user_id AS "partition", event_type AS stage, round(sum({_COST}), 4) AS cost, count(*) AS n FROM events GROUP BY 1, 2')
+def cost_by_partition(spark, d):
+    return telemetry.rollup(_log(spark, d), "partition", "stage")
+
+
+@query(_BY_STAGE)
+def streaming_cost(spark, d):
+    return stream_telemetry.cost_by_stage(spark, f"{d}/events.parquet")
+
+
+@query("""
+SELECT count_if(event_type = 'signup') AS refusals, count_if(event_type = 'error') AS verify_failures, count_if(event_type IN ('error', 'purchase')) AS claims,
+  round(coalesce(count_if(event_type = 'purchase')::DOUBLE / nullif(count_if(event_type IN ('error', 'purchase')), 0), 1.0::DOUBLE), 6) AS groundedness FROM events""")
+def quality_counters(spark, d):
+    return telemetry.quality(_log(spark, d))
+
+
+def _hits(lang: str) -> str:
+    return f"len(list_intersect(w, [{', '.join(repr(x) for x in sorted(language.T.LATIN_CUES[lang]))}]))"
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: regexp_full_match(x, '\\p{{L}}+'))) AS w FROM documents),
+h AS (SELECT doc_id, {", ".join(f"{_hits(k)} AS {k}" for k in language.T.LATIN_CUES)} FROM w)
+SELECT doc_id, CASE WHEN greatest(es, fr, de) = 0 THEN 'en' WHEN es >= fr AND es >= de THEN 'es' WHEN fr >= de THEN 'fr' ELSE 'de' END AS language FROM h""")
+def language_detect(spark, d):
+    return table(spark, d, "documents").select("doc_id", language.latin_language(F.col("text")).alias("language"))
+
+
+@query()
+def job_state(spark, d):
+    """The events of a user as a job's transitions."""
+    kind = F.create_map(*[F.lit(x) for x in ("view", "lease", "signup", "lease", "error", "fail", "purchase", "done", "click", "redrive")])[F.col("event_type")]
+    rows = table(spark, d, "events").select(F.col("user_id").alias("job"), F.struct("ts", "event_id").alias("at"), kind.alias("kind"))
+    return jobs.fold(rows)
+
+
+# sources
+
+
+@query()
+def html_blocks(spark, d):
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("document_id"), F.col("html").cast("binary").alias("content"), F.lit("html").alias("source_type"))
+    return extract.extract(pages).select("document_id", "block", "kind", "level", "text")
+
+
+@query("""SELECT DISTINCT url, target FROM (SELECT url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages)""")
+def page_links(spark, d):
+    return web.links(table(spark, d, "pages"))
+
+
+@query()
+def link_crawl(spark, d):
+    pages = table(spark, d, "pages")
+    return web.crawl(pages, pages.agg(F.min("url").alias("url")))
