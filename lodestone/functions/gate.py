@@ -24,20 +24,17 @@ def align(claim: list[str], passage: list[str], single: int = SINGLE_GAP, total:
     if not claim or not passage:
         return None
     paths: dict[int, tuple[int, int, int]] = {j: (0, 0, j) for j, t in enumerate(passage) if t == claim[0]}
-    where: dict[str, list[int]] = {}
-    for j, t in enumerate(passage):
-        where.setdefault(t, []).append(j)
     for token in claim[1:]:
         ends = sorted(paths)
+        # a path grows by a position that is near the end of one, so only these are looked at
+        near = sorted({j for e in ends for j in range(e + 1, min(e + single + 2, len(passage))) if passage[j] == token})
         grown: dict[int, tuple[int, int, int]] = {}
         best, k = None, 0
-        for j in where.get(token, ()):
+        for j in near:
             while k < len(ends) and ends[k] < j:
                 if best is None or paths[ends[k]][0] < paths[best][0]:
                     best = ends[k]
                 k += 1
-            if best is None:
-                continue
             skipped, widest, start = paths[best]
             gap = j - best - 1
             if gap <= single and skipped + gap <= total:
@@ -52,7 +49,12 @@ def align(claim: list[str], passage: list[str], single: int = SINGLE_GAP, total:
 
 def supported(claim: str, passage: str) -> bool:
     """Ordered containment within the gap budget, with no marker of negation lost from the matched span."""
-    c, p = tokenize(claim), tokenize(passage)
+    return supported_by(claim, tokenize(passage))
+
+
+def supported_by(claim: str, p: list[str]) -> bool:
+    """The same for the passage's tokens, so that many claims share one pass over it."""
+    c = tokenize(claim)
     span = align(c, p)
     if span is None:
         return False

@@ -37,7 +37,8 @@ def _attempt(generate: Generator):
             out = []
             for qid, question, doc, place, text in b.itertuples(index=False):
                 claims = X.split_claims(generate(question, text or ""))
-                kept = [c for c in claims if G.supported(c, text or "")]
+                held = X.tokenize(text or "")
+                kept = [c for c in claims if G.supported_by(c, held)]
                 out.append((qid, doc, place, len(claims), kept))
             yield pd.DataFrame(out, columns=["question_id", "doc_id", "place", "n_claims", "kept"])
 
@@ -127,5 +128,5 @@ def evaluate(results: DataFrame, golden: DataFrame) -> DataFrame:
 
 def stream(answers: DataFrame, key: str, text: str) -> DataFrame:
     """(key, chunk_no, chunk): an answer's sentences, in order."""
-    parts = F.filter(F.transform(F.regexp_extract_all(F.col(text), F.lit("[^.!?]+[.!?]?"), F.lit(0)), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.regexp_extract_all(F.col(text), F.lit("[^.!?]+[.!?]?"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
     return answers.select(key, F.posexplode(parts).alias("chunk_no", "chunk"))

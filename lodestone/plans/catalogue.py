@@ -383,10 +383,10 @@ def _manifest(spark: SparkSession, d: str, text: Column | str = "text") -> DataF
 
 def _was() -> Column:
     """Another text for the English documents."""
-    return F.when(F.col("lang") == "en", F.upper("text")).otherwise(F.col("text"))
+    return F.when(F.col("lang") == "en", F.concat("text", F.lit(" v0"))).otherwise(F.col("text"))
 
 
-@query("SELECT doc_id, sha256(text) AS checksum FROM documents WHERE lang = 'fr' OR lang = 'en' AND upper(text) <> text")
+@query("SELECT doc_id, sha256(text) AS checksum FROM documents WHERE lang IN ('fr', 'en')")
 def manifest_changed(spark, d):
     """Against a manifest without the French documents and with others' text for the English ones."""
     before = _manifest(spark, d, _was()).filter("lang <> 'fr'")
@@ -398,18 +398,18 @@ def blob_owners(spark, d):
     return state.owners(_manifest(spark, d))
 
 
-@query("SELECT DISTINCT sha256(upper(text)) AS checksum FROM documents WHERE lang = 'en' AND sha256(upper(text)) NOT IN (SELECT sha256(text) FROM documents)")
+@query("SELECT DISTINCT sha256(text || ' v0') AS checksum FROM documents WHERE lang = 'en' AND sha256(text || ' v0') NOT IN (SELECT sha256(text) FROM documents)")
 def purge_superseded(spark, d):
     return state.purgeable(_manifest(spark, d, _was()).filter("lang = 'en'"), _manifest(spark, d))
 
 
 @query("""
 SELECT doc_id, CASE WHEN lang = 'fr' THEN 'orphan' WHEN lang = 'es' THEN 'missing' WHEN lang = 'de' THEN 'superseded_version' ELSE 'content_mismatch' END AS status
-FROM documents WHERE lang IN ('fr', 'es') OR lang = 'de' AND lower(text) <> text OR lang = 'en' AND upper(text) NOT IN (text, lower(text))""")
+FROM documents WHERE lang IN ('fr', 'es', 'en') OR lang = 'de' AND lower(text) <> text""")
 def reconcile(spark, d):
     """The index lacks the Spanish documents and holds others' text for German (an earlier declared version) and English ones; French ones aren't declared."""
     docs = table(spark, d, "documents")
-    held = F.when(F.col("lang") == "de", F.lower("text")).when(F.col("lang") == "en", F.upper("text")).otherwise(F.col("text"))
+    held = F.when(F.col("lang") == "de", F.lower("text")).when(F.col("lang") == "en", F.concat("text", F.lit(" v0"))).otherwise(F.col("text"))
     index = docs.filter("lang <> 'es'").select("doc_id", state.checksum(held).alias("checksum"))
     known = docs.filter("lang <> 'fr'")
     now = known.select("doc_id", state.checksum(F.col("text")).alias("checksum"), F.lit(True).alias("current"))
@@ -444,12 +444,12 @@ def rebuild_closure(spark, d):
     return state.closure(spark)
 
 
-@query("SELECT doc_id AS eu_id, sha256(CASE WHEN lang = 'en' THEN upper(text) ELSE text END) AS checksum FROM documents UNION ALL SELECT -1 - doc_id, sha256(text) FROM documents WHERE lang = 'fr'")
+@query("SELECT doc_id AS eu_id, sha256(CASE WHEN lang = 'en' THEN text || ' v0' ELSE text END) AS checksum FROM documents UNION ALL SELECT -1 - doc_id, sha256(text) FROM documents WHERE lang = 'fr'")
 def upsert_units(spark, d):
     """English units are replaced, French ones are added a second time under new ids."""
     docs = table(spark, d, "documents")
     target = docs.select(F.col("doc_id").alias("eu_id"), state.checksum(F.col("text")).alias("checksum"))
-    source = docs.filter("lang = 'en'").select(F.col("doc_id").alias("eu_id"), state.checksum(F.upper("text")).alias("checksum"))
+    source = docs.filter("lang = 'en'").select(F.col("doc_id").alias("eu_id"), state.checksum(F.concat("text", F.lit(" v0"))).alias("checksum"))
     more = docs.filter("lang = 'fr'").select((-1 - F.col("doc_id")).alias("eu_id"), state.checksum(F.col("text")).alias("checksum"))
     return state.upsert(target, source.unionByName(more))
 
