@@ -24,6 +24,8 @@ def align(claim: list[str], passage: list[str], single: int = SINGLE_GAP, total:
     if not claim or not passage:
         return None
     paths: dict[int, tuple[int, int, int]] = {j: (0, 0, j) for j, t in enumerate(passage) if t == claim[0]}
+    if not paths:
+        return None
     for token in claim[1:]:
         ends = sorted(paths)
         # a path grows by a position that is near the end of one, so only these are looked at
