@@ -58,7 +58,7 @@ def ask_strict(questions: DataFrame, candidates: DataFrame, docs: DataFrame, tie
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = authority.select(near, tiers, "strict", floor) if tiers is not None else near.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("rank")).cast("bigint"))
     passages = placed.select(F.col("question_id").alias("group"), (F.col("place") - 1).alias("position"), "text")
-    pairs = conflict.conflicts(passages)
+    pairs = conflict.conflicts(passages, conflict.WINDOW)
     touched = pairs.select("group", F.explode(F.array("left", "right")).alias("position")).distinct().select(F.col("group").alias("question_id"), (F.col("position") + 1).alias("place"), F.lit(True).alias("disputed"))
     drafts = placed.filter(F.col("place") <= ATTEMPTS).join(questions.select("question_id", "question"), "question_id").select("question_id", "question", "doc_id", "place", "text")
     qkind = questions.schema["question_id"].dataType.simpleString()

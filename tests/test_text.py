@@ -80,6 +80,21 @@ def test_conflicts(spark):
     assert got == {(0, 1): "value", (0, 2): "negation", (1, 2): "negation", (3, 4): "antonym"}
 
 
+def test_conflicts_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(conflict, "BLOCK", 4)
+    r = random.Random(3)
+    texts = [f"{r.choice(['Sales', 'Yearly sales', 'Prices'])} {r.choice(['rose', 'fell', 'not fell'])} in the {r.choice(['northern', 'large northern', 'southern'])} market to {r.choice([10, 20, 30, '10 and 20'])} {r.choice(['usd', 'percent', ''])}" for _ in range(40)]
+    rows = [(g, i, t) for g, n in (("g", 30), ("h", 10), ("one", 1)) for i, t in enumerate(texts[:n])]
+    df = spark.createDataFrame(rows, "group string, position int, text string")
+    f = df.select("group", "position", conflict.features(F.col("text")).alias("f"))
+    left, right = (f.select("group", F.col("position").alias(p), F.col("f").alias(c)) for p, c in (("left", "a"), ("right", "b")))
+    pairs = left.join(right, "group").filter("left < right").select("group", "left", "right", conflict.finding("a", "b").alias("rule"))
+    want = sorted(tuple(x) for x in pairs.filter("rule IS NOT NULL").collect())
+    assert sorted(tuple(x) for x in conflict.conflicts(df).collect()) == want
+    assert {x[3] for x in want} == {"antonym", "negation", "value"} and max(x[2] for x in want) > conflict.WINDOW
+    assert sorted(tuple(x) for x in conflict.conflicts(df, conflict.WINDOW).collect()) == [x for x in want if x[2] < conflict.WINDOW]
+
+
 def test_near_duplicates_against_all_pairs(spark):
     r = random.Random(5)
     base = [" ".join(r.choices([f"w{i}" for i in range(60)], k=20)) for _ in range(30)]
