@@ -42,3 +42,13 @@ def neighbors(needles: DataFrame, edge: DataFrame) -> DataFrame:
     chosen = labels.join(needles, F.col("label").contains(F.col("needle"))).groupBy("needle").agg(F.min("label").alias("label"))
     both = edge.select(F.col("source").alias("label"), F.col("target").alias("neighbor"), "weight").union(edge.select("target", "source", "weight"))
     return chosen.join(both, "label").select("needle", "label", "neighbor", "weight")
+
+
+def neighbors_of(needles: DataFrame, units: DataFrame) -> DataFrame:
+    """``neighbors`` of the edges of units, without making them all: only the chosen labels' pairs are counted."""
+    held = units.select(F.array_sort(F.filter(X.content(X.tokens(F.col("text"))), lambda w: F.length(w) >= LETTERS)).alias("w")).filter(F.size("w") > 1)
+    labels = held.select(F.explode("w").alias("label")).distinct()
+    chosen = labels.join(needles, F.col("label").contains(F.col("needle"))).groupBy("needle").agg(F.min("label").alias("label"))
+    own = held.select("w", F.explode("w").alias("label")).join(F.broadcast(chosen.select("label").distinct()), "label")  # a label a needle at most
+    counted = own.select("label", F.explode("w").alias("neighbor")).filter("label <> neighbor").groupBy("label", "neighbor").agg(F.count("*").alias("weight"))
+    return chosen.join(counted, "label").select("needle", "label", "neighbor", "weight")

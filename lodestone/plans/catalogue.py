@@ -261,8 +261,13 @@ def graph_nodes(spark, d):
     return graph.nodes(table(spark, d, "documents").select(F.col("doc_id").alias("unit"), "text"))
 
 
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return units.chunked(_blocks(spark, d)).select(F.col("eu_id").alias("unit"), F.col("passage").alias("text"))
+
+
 @query(f"SELECT * FROM {_EDGES}")
 def comention_edges(spark, d):
+    """Over the benchmark's passages only, as the SQL; ``comention_edges_chunks`` has all documents."""
     return graph.edges(_passages(spark, d))
 
 
@@ -276,6 +281,10 @@ def graph_retrieve(spark, d):
     return graph.retrieve(questions(spark, d), table(spark, d, "documents"), K).select("question_id", "doc_id", "score", "rank")
 
 
+def _needles(spark: SparkSession, d: str) -> DataFrame:
+    return questions(spark, d).select(F.get(F.array_sort(X.content(X.tokens(F.col("question")))), F.lit(0)).alias("needle")).filter("needle IS NOT NULL").distinct()
+
+
 _NEEDLES = f"(SELECT DISTINCT list_sort({S.content(S.ascii_tokens('question'))})[1] AS needle FROM {S.questions()})"
 
 
@@ -285,8 +294,19 @@ c AS (SELECT needle, min(label) AS label FROM l, {_NEEDLES} n WHERE contains(lab
 b AS (SELECT source AS label, target AS neighbor, weight FROM e UNION ALL SELECT target, source, weight FROM e)
 SELECT needle, label, neighbor, weight FROM c JOIN b USING (label)""")
 def graph_neighbors(spark, d):
-    needles = questions(spark, d).select(F.get(F.array_sort(X.content(X.tokens(F.col("question")))), F.lit(0)).alias("needle")).filter("needle IS NOT NULL").distinct()
-    return graph.neighbors(needles, graph.edges(_passages(spark, d)))
+    """Over the benchmark's passages only, as the SQL; ``graph_neighbors_chunks`` has all documents."""
+    return graph.neighbors(_needles(spark, d), graph.edges(_passages(spark, d)))
+
+
+@query()
+def comention_edges_chunks(spark, d):
+    """The graph over the chunks of all documents."""
+    return graph.edges(_chunks(spark, d))
+
+
+@query()
+def graph_neighbors_chunks(spark, d):
+    return graph.neighbors_of(_needles(spark, d), _chunks(spark, d))
 
 
 def _outline(spark: SparkSession, d: str) -> DataFrame:
