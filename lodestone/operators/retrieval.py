@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from lodestone.functions import text as X
 K1, B = 1.5, 0.75
 RRF_K = 60
 RERANK_HEAD = 50
+BLOCK, SLACK = 4096, 2e-6
+"""Vectors of a block at most, about; what the rounding of distances to six digits may change their order by, and more."""
 
 
 def top(scored: DataFrame, k: int, by: str = "question_id", item: str = "doc_id", least: bool = False) -> DataFrame:
@@ -68,6 +72,58 @@ def vector_top(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
     return near.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
+def vector_top_all(vectors: DataFrame, k: int, metric: str = "l2", dim: int = 64) -> DataFrame:
+    """(question_id, vec_id, distance, rank): the k nearest of all (vec_id, embedding) to each of them, itself among them.
+
+    ``vec_id`` is a key; vectors that ``vector_reason`` calls unfit are neither
+    searched nor found. Exact: vectors are cut into blocks of about ``BLOCK``,
+    each pair of blocks gives the k nearest of its own by a matrix product that
+    only preselects, with ``SLACK`` for its error; distances are then taken
+    directly, and of a vector's candidates from all blocks the k nearest stay.
+    """
+    fit = vectors.filter(vector_reason(F.col("embedding"), dim).isNull()).select("vec_id", "embedding")
+    n = max(1, -(-fit.count() // BLOCK))
+    own = fit.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asking = own.select(F.col("block").alias("q"), every.alias("v"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    asked = own.select(every.alias("q"), F.col("block").alias("v"), F.lit(False).alias("asks"), "vec_id", "embedding")
+
+    def f(t: pa.Table) -> pa.Table:
+        asks = t.column("asks").to_numpy()
+        ids = t.column("vec_id").to_numpy()
+        x = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        norm = (x * x).sum(axis=1)
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        out: list[tuple[np.ndarray, ...]] = []
+        for i in range(0, len(left) if len(right) else 0, 512):
+            at = left[i : i + 512]
+            if metric == "l2":
+                d = norm[at][:, None] + norm[right] - 2 * (x[at] @ x[right].T)
+                slack = SLACK + 1e-12 * (norm[at][:, None] + norm[right].max())
+            else:
+                d = 1 - (x[at] @ x[right].T) / np.sqrt(norm[at][:, None] * norm[right])
+                slack = SLACK
+            last = min(k, len(right)) - 1
+            p, c = np.nonzero(d <= np.partition(d, last, axis=1)[:, last : last + 1] + slack)
+            a, b = at[p], right[c]
+            if metric == "l2":
+                far = ((x[a] - x[b]) ** 2).sum(axis=1)
+            else:
+                far = 1 - (x[a] * x[b]).sum(axis=1) / (np.sqrt(norm[a]) * np.sqrt(norm[b]))
+            far = np.round(far, 6) + 0.0  # no -0.0
+            order = np.lexsort((ids[b], far, p))
+            p, a, b, far = p[order], a[order], b[order], far[order]
+            begin = np.searchsorted(p, np.arange(len(at)))
+            keep = np.arange(len(p)) - begin[p] < k
+            out.append((ids[a][keep], ids[b][keep], far[keep]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"question_id": pa.array(cols[0]), "vec_id": pa.array(cols[1]), "distance": pa.array(cols[2])})
+
+    near = asking.unionByName(asked).groupBy("q", "v").applyInArrow(f, "question_id bigint, vec_id bigint, distance double")
+    order = Window.partitionBy("question_id").orderBy("distance", "vec_id")
+    return near.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+
+
 def vector_reason(v: Column, dim: int) -> Column:
     """Why a vector is unfit, or null: checked in the order empty, dimension, not finite, zero."""
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

@@ -127,14 +127,26 @@ SELECT question_id, vec_id, distance, rank FROM r WHERE rank <= {k}"""
 
 @query(_NEAR.format(distance="list_sum(list_transform(list_zip(v, q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))", k=K))
 def vector_topk_l2(spark, d):
+    """Of the labels' mean vectors only, as the SQL; ``vector_topk_l2_all`` searches for every row."""
     return retrieval.vector_top(_centroids(spark, d), table(spark, d, "embeddings"), K).select("question_id", "vec_id", "distance", "rank")
 
 
 @query(_NEAR.format(distance="1 - list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q)))", k=K))
 def vector_topk_cosine(spark, d):
+    """Of the labels' mean vectors only, as the SQL; ``vector_topk_cosine_all`` searches for every row."""
     return retrieval.vector_top(_centroids(spark, d), table(spark, d, "embeddings"), K, "cosine").select("question_id", "vec_id", "distance", "rank")
 
 
+@query()
+def vector_topk_l2_all(spark, d):
+    return retrieval.vector_top_all(table(spark, d, "embeddings"), K)
+
+
+@query()
+def vector_topk_cosine_all(spark, d):
+    return retrieval.vector_top_all(table(spark, d, "embeddings"), K, "cosine")
+
+
 @query("SELECT 'fit' AS reason, count(*) AS n FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0")
 def vector_check(spark, d):
     reason = F.coalesce(retrieval.vector_reason(F.col("embedding"), 64), F.lit("fit"))

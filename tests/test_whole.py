@@ -3,9 +3,12 @@
 from collections import Counter
 from itertools import combinations
 
+import pytest
+from pyspark.sql import functions as F
+
 from lodestone.functions import tables as T
 from lodestone.functions import text as X
-from lodestone.operators import graph
+from lodestone.operators import graph, retrieval
 from lodestone.plans.catalogue import QUERIES
 
 
@@ -29,3 +32,16 @@ def test_comention_over_the_chunks_of_all_documents(spark, tmp_path):
     assert found == both(graph.neighbors(needles, graph.edges(chunks))) and {x[0] for x in found} == {"beta", "alpha", "phab", "term"}
     got = QUERIES["graph_neighbors_chunks"](spark, str(tmp_path)).collect()
     assert {(r["needle"], r["label"]) for r in got} == {("beta", "beta"), ("alpha", "alpha")}
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_every_vector_is_a_query(spark, monkeypatch, metric, tmp_path):
+    monkeypatch.setattr(retrieval, "BLOCK", 60)
+    fit = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").filter("vec_id < 200")
+    copies = fit.filter("vec_id < 15").select((F.col("vec_id") % 2 * 1000 + 1000 + F.col("vec_id")).alias("vec_id"), "embedding").union(fit.filter("vec_id = 3").crossJoin(spark.range(5000, 5020)).select(F.col("id"), "embedding"))
+    fit = fit.union(copies)
+    unfit = spark.createDataFrame([(9001, None), (9002, [0.0] * 64), (9003, [1.0]), (9004, [float("nan")] * 64)], "vec_id bigint, embedding array<float>")
+    fit.union(unfit).write.parquet(f"{tmp_path}/embeddings.parquet")
+    shown = lambda df: sorted((r["question_id"], r["rank"], r["vec_id"], round(r["distance"], 6) + 0.0) for r in df.collect())
+    want = shown(retrieval.vector_top(fit.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q")), fit, 10, metric))
+    assert shown(QUERIES[f"vector_topk_{metric}_all"](spark, str(tmp_path))) == want and len(want) == 10 * fit.count()
