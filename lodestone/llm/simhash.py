@@ -3,14 +3,15 @@
 A text's fingerprint has 128 bits: of the hashes of its words of at least
 ``MIN_LETTERS`` bytes (of all its words, if it has no such word), each bit is
 the majority's. Two texts are near copies if the fingerprints differ in at most
-``FAR`` bits and their first halves in at most ``4 * 3 - 1`` = 11, which holds
-for over nine in ten pairs that satisfy the first condition.
+``FAR`` = 18 bits.
 
-The search by the first half is exact: the half has four segments of 16 bits,
-and 11 bits of difference leave at least one segment with at most two. Each
+The search is exact: either half has three segments of 18 bits, and the ten bits
+that each half has besides are a last segment of 20. If the last ones differ, 17
+bits of difference at most are left for the six, so one of them has at most two.
+The last segment's table is entered with its value only. In the six's, each
 fingerprint is entered in the segment's table under the Hamming ball of radius
 one around the segment's value, so two values at a distance of at most two meet
-in an entry. Every pair that meets is held to both complete distances. Only a
+in an entry. Every pair that meets is held to the complete distance. Only a
 spanning forest of what an entry links is passed on, so groups of thousands of
 copies cost no square; connected components over all entries give the groups.
 """
@@ -31,8 +32,7 @@ from lodestone.llm.common import batches, components, cut, pack
 
 MIN_LETTERS = 5
 FAR = 18
-SEGMENTS, SEGMENT_BITS = 4, 16
-HALF_FAR = 3 * SEGMENTS - 1
+SEGMENTS, SEGMENT_BITS, LAST_BITS = 3, 18, 10
 
 
 def fingerprints(column: pa.Array) -> np.ndarray:
@@ -76,17 +76,17 @@ def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
 def _entries(b: pa.RecordBatch) -> pa.RecordBatch:
     fp = _numbers(b.column(0))
     masks = np.r_[0, 1 << np.arange(SEGMENT_BITS)].astype(np.uint64)
-    keys = [((fp[:, :1] >> np.uint64(SEGMENT_BITS * s)) & np.uint64((1 << SEGMENT_BITS) - 1)) ^ masks | np.uint64(s << SEGMENT_BITS) for s in range(SEGMENTS)]
+    cells = [(half, s) for half in range(2) for s in range(SEGMENTS)]
+    keys = [((fp[:, half, None] >> np.uint64(SEGMENT_BITS * s)) & np.uint64((1 << SEGMENT_BITS) - 1)) ^ masks | np.uint64(k << 2 * LAST_BITS) for k, (half, s) in enumerate(cells)]
+    last = fp >> np.uint64(SEGMENT_BITS * SEGMENTS)
+    keys.append((last[:, :1] << np.uint64(LAST_BITS)) | last[:, 1:] | np.uint64(len(cells) << 2 * LAST_BITS))
     keys = np.concatenate(keys, axis=1)
     rows = np.repeat(fp.view(np.int64), keys.shape[1], axis=0)
     return pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], ["key", "hi", "lo"])
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    d = np.bitwise_count(x[:, :1] ^ y[None, :, 0])
-    near = d <= HALF_FAR
-    near &= d + np.bitwise_count(x[:, 1:] ^ y[None, :, 1]) <= FAR
-    return near
+    return np.bitwise_count(x[:, :1] ^ y[None, :, 0]) + np.bitwise_count(x[:, 1:] ^ y[None, :, 1]) <= FAR
 
 
 def forest(fp: np.ndarray) -> list[tuple[int, int]]:
@@ -135,7 +135,7 @@ def _search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in range(0, len(at), most):
                 x, y = (at[c : c + most, None] + i).ravel(), (at[c : c + most, None] + j).ravel()
                 d = np.bitwise_count(fp[x, 0] ^ fp[y, 0])
-                s = np.flatnonzero(d <= HALF_FAR)
+                s = np.flatnonzero(d <= FAR)
                 x, y, d = x[s], y[s], d[s]
                 s = d + np.bitwise_count(fp[x, 1] ^ fp[y, 1]) <= FAR
                 found.append(np.stack([x[s], y[s]], 1))

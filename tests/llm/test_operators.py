@@ -176,6 +176,20 @@ def test_simhash_search_is_exact(spark):
     assert parent == root
 
 
+def test_simhash_finds_all_pairs_within_the_distance(spark):
+    r = np.random.default_rng(9)
+    base = r.integers(0, 1 << 63, (400, 2)).astype(np.uint64)
+    near = base.copy()
+    for k in range(len(near)):
+        flips = r.choice(64, 18, replace=False) + k % 2 * 64 if k < 200 else r.choice(128, 18, replace=False)
+        for b in flips:
+            near[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    binary = simhash._binary(np.concatenate([base, near])).to_pylist()
+    df = spark.createDataFrame([(bytearray(b),) for b in binary], "fp binary")
+    got = {frozenset((bytes(e["a"]), bytes(e["b"]))) for e in simhash.near_edges(df).collect()}
+    assert got == {frozenset((binary[k], binary[k + 400])) for k in range(400)}
+
+
 def test_simhash_cases(hard):
     got = values(simhash.duplicates(hard))
     assert got == [(1, 1), (3, 2)]
