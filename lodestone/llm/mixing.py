@@ -3,8 +3,10 @@
 Each source's documents are put in a seeded random order; a document's virtual
 finish time is the tokens of its source up to and with it, divided by the
 source's weight. All documents in the order of that time form the mixture: at
-any point each source has spent tokens in proportion to its weight. The mixture
-ends where its running total of tokens would pass the budget.
+any point each source that isn't used up has spent tokens in proportion to its
+weight. A source that runs out isn't repeated: the rest of the budget goes to
+the others by their weights, so the mixture then falls short of that source's
+share. The mixture ends where its running total of tokens would pass the budget.
 
 The running totals are taken by pieces of the order (see ``common.running``), so
 a source or a time span of any size is spread over tasks.
