@@ -1,9 +1,11 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A text's fingerprint has 128 bits: of the hashes of its words of at least
-``MIN_LETTERS`` bytes (of all its words, if it has no such word), each bit is
-the majority's. Two texts are near copies if the fingerprints differ in at most
-``FAR`` = 18 bits.
+A text's fingerprint has 128 bits: each is the majority's among the hashes of
+the text's pairs of neighbouring words, and of its words of at least ``LETTERS``
+bytes, which count ``WEIGHT`` times each. Every word is in a pair, so texts that
+differ in a number or in the order of words differ in their hashes; longer words
+weigh more, as short ones tell texts less apart. Two texts are near copies if
+the fingerprints differ in at most ``FAR`` = 18 bits.
 
 The search is exact: either half has three segments of 18 bits, and the ten bits
 that each half has besides are a last segment of 20. If the last ones differ, 17
@@ -14,6 +16,11 @@ one around the segment's value, so two values at a distance of at most two meet
 in an entry. Every pair that meets is held to the complete distance. Only a
 spanning forest of what an entry links is passed on, so groups of thousands of
 copies cost no square; connected components over all entries give the groups.
+
+A table is parted by the first bits of its segment: a fingerprint is sent to its
+own part and to those one bit away, and the flips of the remaining bits are
+entered where it arrives. The number of those first bits grows with the
+logarithm of the fingerprints, so parts stay of a size.
 """
 
 from __future__ import annotations
@@ -30,24 +37,32 @@ from pyspark.sql import types as T
 from lodestone.llm import kernels as K
 from lodestone.llm.common import batches, components, cut, pack
 
-MIN_LETTERS = 5
+LETTERS, WEIGHT = 5, 2
 FAR = 18
 SEGMENTS, SEGMENT_BITS, LAST_BITS = 3, 18, 10
+PART = 1 << 15
+"""Fingerprints whose segment begins alike, about; a part holds a few times as many."""
+
+
+def _features(t: K.Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of pairs of words and of longer words, by document, and the index of each document's first."""
+    _, (_, pair, valid) = t.grams(2)
+    longer = (t.end - t.start) >= LETTERS
+    used = np.stack([valid, *[longer] * WEIGHT], 1)
+    every = np.stack([K.mix(pair + np.uint64(2)), *[t.hash] * WEIGHT], 1)
+    before = np.r_[0, np.cumsum(used.sum(axis=1))]
+    return every[used], before[t.first]
 
 
 def fingerprints(column: pa.Array) -> np.ndarray:
-    """(n, 2) of 64 bits. A text without a word gets a hash of its bytes, so it equals only itself; null counts as empty."""
+    """(n, 2) of 64 bits. A text without a word, or of one short word alone, gets a hash of its bytes, so it equals only itself; null counts as empty."""
     data, offsets = K.text_buffer(column)
     out = np.zeros((len(offsets) - 1, 2), np.uint64)
     for i, j in K.blocks(offsets):
         o = offsets[i : j + 1] - offsets[i]
         d = data[offsets[i] : offsets[j]]
-        t = K.Tokens(d, o)
-        long = (t.end - t.start) >= MIN_LETTERS
-        any_long = np.bincount(t.doc[long], minlength=j - i) > 0
-        idx = np.flatnonzero(long | ~any_long[t.doc])
-        first = np.searchsorted(idx, t.first)
-        out[i:j] = K.bit_majority(t.hash[idx], first)
+        features, first = _features(K.Tokens(d, o))
+        out[i:j] = K.bit_majority(features, first)
         for k in np.flatnonzero(np.diff(first) == 0):
             out[i + k] = np.frombuffer(hashlib.blake2b(d[o[k] : o[k + 1]].tobytes(), digest_size=16).digest(), np.uint64)
     return out
@@ -73,16 +88,44 @@ def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(batches(f), f"doc_id {kind}, fp binary")
 
 
-def _entries(b: pa.RecordBatch) -> pa.RecordBatch:
-    fp = _numbers(b.column(0))
-    masks = np.r_[0, 1 << np.arange(SEGMENT_BITS)].astype(np.uint64)
-    cells = [(half, s) for half in range(2) for s in range(SEGMENTS)]
-    keys = [((fp[:, half, None] >> np.uint64(SEGMENT_BITS * s)) & np.uint64((1 << SEGMENT_BITS) - 1)) ^ masks | np.uint64(k << 2 * LAST_BITS) for k, (half, s) in enumerate(cells)]
+def _segment(fp: np.ndarray, k: int) -> np.ndarray:
+    """The k-th segment; behind the last of ``SEGMENT_BITS`` comes the one of what is left of both halves."""
+    if k < 2 * SEGMENTS:
+        half, s = divmod(k, SEGMENTS)
+        return (fp[:, half] >> np.uint64(SEGMENT_BITS * s)) & np.uint64((1 << SEGMENT_BITS) - 1)
     last = fp >> np.uint64(SEGMENT_BITS * SEGMENTS)
-    keys.append((last[:, :1] << np.uint64(LAST_BITS)) | last[:, 1:] | np.uint64(len(cells) << 2 * LAST_BITS))
-    keys = np.concatenate(keys, axis=1)
-    rows = np.repeat(fp.view(np.int64), keys.shape[1], axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], ["key", "hi", "lo"])
+    return (last[:, 0] << np.uint64(LAST_BITS)) | last[:, 1]
+
+
+def _entries(prefix: int):
+    """(part, hi, lo): each fingerprint in the parts of all tables that its segments' first ``prefix`` bits, or one flip of them, name."""
+
+    def f(b: pa.RecordBatch) -> pa.RecordBatch:
+        fp = _numbers(b.column(0))
+        flips = np.r_[0, 1 << np.arange(prefix)].astype(np.uint64)
+        parts = [(_segment(fp, k) >> np.uint64(SEGMENT_BITS - prefix))[:, None] ^ flips | np.uint64(k << 2 * LAST_BITS) for k in range(2 * SEGMENTS)]
+        parts.append((_segment(fp, 2 * SEGMENTS) >> np.uint64(2 * LAST_BITS - prefix))[:, None] | np.uint64(2 * SEGMENTS << 2 * LAST_BITS))
+        parts = np.concatenate(parts, axis=1)
+        rows = np.repeat(fp.view(np.int64), parts.shape[1], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(parts.ravel().astype(np.int32)), pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], ["part", "hi", "lo"])
+
+    return f
+
+
+def _keyed(part: int, fp: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys within a part, in order, and the fingerprint entered under each."""
+    k, own = part >> 2 * LAST_BITS, part & (1 << 2 * LAST_BITS) - 1
+    bits = (SEGMENT_BITS if k < 2 * SEGMENTS else 2 * LAST_BITS) - prefix
+    value = _segment(fp, k)
+    key = (value & np.uint64((1 << bits) - 1)).astype(np.int64)
+    at = np.arange(len(fp))
+    if k < 2 * SEGMENTS:
+        # those that arrived by a flip have spent it
+        home = np.flatnonzero(value >> np.uint64(bits) == np.uint64(own))
+        key = np.concatenate([key, (key[home, None] ^ (1 << np.arange(bits))).ravel()])
+        at = np.concatenate([at, np.repeat(home, bits)])
+    order = np.argsort(key.astype(np.uint32), kind="stable")
+    return key[order], fp[at[order]]
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -119,56 +162,63 @@ def forest(fp: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; a run of one key may cross batches."""
-    kept_key, kept_fp = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
-
-    def edges(keys: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-        begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        size = np.diff(np.r_[begin, len(keys)])
-        found: list[np.ndarray] = []
-        # small runs: all pairs of runs of one size at once
-        for n in np.unique(size[(size > 1) & (size <= 96)]):
-            at = begin[size == n]
-            i, j = np.triu_indices(n, 1)
-            most = max(1, 2_000_000 // len(i))
-            for c in range(0, len(at), most):
-                x, y = (at[c : c + most, None] + i).ravel(), (at[c : c + most, None] + j).ravel()
-                d = np.bitwise_count(fp[x, 0] ^ fp[y, 0])
-                s = np.flatnonzero(d <= FAR)
-                x, y, d = x[s], y[s], d[s]
-                s = d + np.bitwise_count(fp[x, 1] ^ fp[y, 1]) <= FAR
-                found.append(np.stack([x[s], y[s]], 1))
-        for at, n in zip(begin[size > 96], size[size > 96], strict=True):
-            if e := forest(fp[at : at + n]):
-                found.append(np.array(e) + at)
-        if not found:
-            return None
-        pairs = np.concatenate(found)
-        if not len(pairs):
-            return None
-        both = np.unique(np.concatenate([fp[pairs[:, 0]], fp[pairs[:, 1]]], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([_binary(both[:, :2]), _binary(both[:, 2:])], ["a", "b"])
-
-    for b in it:
-        if not b.num_rows:
-            continue
-        key = np.concatenate([kept_key, b.column(0).to_numpy()])
-        new = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], 1).view(np.uint64)
-        fp = np.concatenate([kept_fp, new])
-        done = int(np.searchsorted(key, key[-1]))
-        if done and (out := edges(key[:done], fp[:done])) is not None:
+def _links(keys: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+    """Links between fingerprints that share a key; keys come sorted."""
+    begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    size = np.diff(np.r_[begin, len(keys)])
+    found: list[np.ndarray] = []
+    # small runs: all pairs of runs of one size at once
+    for n in np.unique(size[(size > 1) & (size <= 96)]):
+        at = begin[size == n]
+        i, j = np.triu_indices(n, 1)
+        most = max(1, 2_000_000 // len(i))
+        for c in range(0, len(at), most):
+            x, y = (at[c : c + most, None] + i).ravel(), (at[c : c + most, None] + j).ravel()
+            d = np.bitwise_count(fp[x, 0] ^ fp[y, 0])
+            s = np.flatnonzero(d <= FAR)
+            x, y, d = x[s], y[s], d[s]
+            s = d + np.bitwise_count(fp[x, 1] ^ fp[y, 1]) <= FAR
+            found.append(np.stack([x[s], y[s]], 1))
+    for at, n in zip(begin[size > 96], size[size > 96], strict=True):
+        if e := forest(fp[at : at + n]):
+            found.append(np.array(e) + at)
+    if not found:
+        return None
+    pairs = np.concatenate(found)
+    if not len(pairs):
+        return None
+    both = np.unique(np.concatenate([fp[pairs[:, 0]], fp[pairs[:, 1]]], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([_binary(both[:, :2]), _binary(both[:, 2:])], ["a", "b"])
+
+
+def _search(prefix: int):
+    """Rows come sorted by part; a part may cross batches."""
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now = None
+        for b in it:
+            part = b.column(0).to_numpy()
+            fp = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], 1).view(np.uint64)
+            begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+            for i, j in zip(begin, [*begin[1:], len(part)], strict=True):
+                if part[i] != now:
+                    if held and (out := _links(*_keyed(now, np.concatenate(held), prefix))) is not None:
+                        yield out
+                    now, held = int(part[i]), []
+                held.append(fp[i:j])
+        if held and (out := _links(*_keyed(now, np.concatenate(held), prefix))) is not None:
             yield out
-        kept_key, kept_fp = key[done:], fp[done:]
-    if len(kept_key) and (out := edges(kept_key, kept_fp)) is not None:
-        yield out
+
+    return f
 
 
 def near_edges(fps: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints whose components are those of all near pairs."""
-    entries = fps.select("fp").mapInArrow(batches(_entries), "key bigint, hi bigint, lo bigint")
+    prefix = min(16, max(4, (fps.count() // PART).bit_length()))
+    entries = fps.select("fp").mapInArrow(batches(_entries(prefix)), "part int, hi bigint, lo bigint")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_search, "a binary, b binary").distinct()
+    return entries.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_search(prefix), "a binary, b binary").distinct()
 
 
 def _groups(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,9 +232,10 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
     Documents with equal fingerprints are copies, so repeated rows are: for n
     rows of one doc_id, n - 1 come back with duplicate_of = doc_id. A null text
-    counts as empty; texts without a word are copies only of the same bytes; a
-    null doc_id never stays if its group has another. An empty table gives none.
-    Columns other than doc_id and text are not read.
+    counts as empty; texts without a word, or of one short word, are copies only
+    of the same bytes; a null doc_id never stays if its group has another; a
+    text of any length is read whole. An empty table gives none. Columns other
+    than doc_id and text are not read, so their names can't clash.
     """
     marked = cut(with_fingerprint(docs))
     distinct, roots = _groups(marked)
@@ -202,7 +253,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each group the row with the least doc_id stays (of repeated rows, one). All columns are kept as they are.
 
-    Nulls, empty and wordless texts as for ``duplicates``.
+    Nulls, empty, wordless and long texts as for ``duplicates``; an empty table
+    stays empty; columns are carried as one struct, so no name can clash.
     """
     marked = cut(with_fingerprint(docs))
     distinct, roots = _groups(marked)
