@@ -21,7 +21,7 @@ def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
-        "op1_mixing": _on("documents", mixing.mixture),
+        "op1_mixing": _on("documents", lambda docs: mixing.mixture(docs, mixing.TARGET, others=mixing.OTHERS)),
         "op2_sharding": _on("documents", sharding.shards),
         "op3_packing": _on("documents", packing.packed),
         "op4_language_id": _on("documents", language.identify),
