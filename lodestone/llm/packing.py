@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTEXT = 2048
+SALTS = 32
+"""Salts of the longest pieces, for each partition."""
 BLANKS = " \t\n\r\f"
 TOKEN = "[ \t\n\r\f]*[^ \t\n\r\f]+[ \t\n\r\f]*"
 
@@ -31,7 +33,8 @@ def pieces(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
 
     A null, empty or blank text has no tokens and no pieces. Repeated rows are
     split each. A text of any length is split whole; its pieces are slices, so
-    the work is in proportion to its length. Other columns are not carried.
+    the work is in proportion to its length. An empty table gives no piece.
+    Other columns are not read, so their names can't clash.
     """
     if context < 1 or context & (context - 1):
         raise ValueError("the context must be a power of two")
@@ -50,11 +53,15 @@ def pieces(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
 
 
 def packed(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """The pieces with those of equal length together: repartitioned by (length, a hash of the document), each partition sorted by length. Cases as for ``pieces``."""
+    """The pieces with those of equal length together. Cases as for ``pieces``.
+
+    A length is spread over salts in proportion to it, as the bytes of its
+    pieces are, by a hash of the piece; each partition is sorted by length.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = pieces(docs, context)
-    spread = F.pmod(F.xxhash64("doc_id", "start"), F.lit(1024))
-    return df.withColumn("_spread", spread).repartitionByRange(parts, "length", "_spread").sortWithinPartitions("length", "_spread").drop("_spread")
+    salts = F.ceil(F.col("length") * SALTS * parts / context)
+    salt = F.pmod(F.xxhash64("doc_id", "start", "text"), salts)
+    return pieces(docs, context).withColumn("_salt", salt).repartition(parts, "length", "_salt").drop("_salt").sortWithinPartitions("length")
 
 
 def oracle(documents: str = "documents", context: int = CONTEXT) -> str:
