@@ -1,15 +1,15 @@
 """Language identification by a byte convolutional network.
 
-The network sees a window of ``WINDOW`` bytes, each as one of 64 classes.
+The network sees a window of ``WINDOW`` bytes, each as one of 256 classes.
 Filters of widths 2, 3 and 4 slide over the window, each filter's response is
 max-pooled over it, and a softmax over the pooled responses gives the language.
 A document is cut into windows from end to end; its probabilities are the mean
 over all its windows.
 
 Because a filter's input is a class and not a vector, its response is a sum of
-table entries; entries for two neighbouring classes are added up beforehand, so
+table entries; entries for two neighbouring bytes are added up beforehand, so
 a width costs one or two look-ups a byte. Training is plain gradient descent
-(Adam) in numpy on a bounded sample of labelled documents.
+(Adam) in numpy on all windows of a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -29,28 +29,13 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 SAMPLE = 400
-"""Labelled documents a language, at most about this many, that the network is fitted on."""
-SAMPLE_WINDOWS = 8
-"""Windows of each such document, evenly spread over it."""
+"""Labelled documents a language, at most about this many, that the network is fitted on, each with its whole text."""
 LEAST = 0.4
 """Documents whose best language has a lower probability are rejected."""
-EPOCHS = 6
+EPOCHS = 3
 _BATCH = 128
 
-CLASSES = 64
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[97:123] = np.arange(1, 27)
-_CLASS[48:58] = 27
-_CLASS[[b for b in range(33, 127) if not chr(b).isalnum()]] = 28
-_CLASS[0x80:0xC0] = 30 + np.arange(64) % 32
-_CLASS[0xC0:] = 29
-_CLASS[0xC3] = 62
-_CLASS[0xC2] = 63
-
-
-def classes(data: np.ndarray) -> np.ndarray:
-    """Class of each byte: 0 white space and controls, folded letters, digits, signs, lead and continuation bytes."""
-    return _CLASS[K.fold(data)]
+CLASSES = 256
 
 
 class Network:
@@ -67,7 +52,7 @@ class Network:
         return sum(table[k][x[:, k : k + n]] for k in range(w))
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """Of windows (n, WINDOW) of classes."""
+        """Of windows (n, WINDOW) of bytes."""
         pairs = x[:, :-1].astype(np.int32) * CLASSES + x[:, 1:]
         pooled = np.empty((len(x), len(WIDTHS) * FILTERS), np.float32)
         for q, (w, t) in enumerate(zip(WIDTHS, self.paired(), strict=True)):
@@ -131,13 +116,13 @@ class Network:
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of a block of documents, end to end, the last one filled up with class 0: (windows, index of each document's first, bytes of text in each)."""
+    """All windows of a block of documents, end to end, the last one filled up with zeros: (windows, index of each document's first, bytes of text in each)."""
     size = np.diff(offsets)
     count = -(-size // WINDOW)
     first = np.r_[0, np.cumsum(count)]
     x = np.zeros(first[-1] * WINDOW, np.uint8)
     shift = np.repeat(first[:-1] * WINDOW - offsets[:-1], size)
-    x[np.arange(len(data)) + shift] = classes(data)
+    x[np.arange(len(data)) + shift] = data
     weight = np.full(first[-1], WINDOW, np.float64)
     weight[first[1:][count > 0] - 1] = (size - (count - 1) * WINDOW)[count > 0]
     return x.reshape(-1, WINDOW), first, weight
@@ -168,26 +153,20 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 5) -> Network | Non
     bound = F.lit(0.0)
     for k, n in counts.items():
         bound = F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))).otherwise(bound)
-    taken = some.filter(share < bound).select("lang", "text").mapInArrow(batches(_spread_windows), "lang string, x binary")
-    rows = sorted((r["lang"], bytes(r["x"])) for r in taken.collect())  # SAMPLE * SAMPLE_WINDOWS windows a language, about
+    taken = some.filter(share < bound).select("lang", "text").mapInArrow(batches(_all_windows), "lang string, x binary")
+    rows = sorted((r["lang"], bytes(r["x"])) for r in taken.collect())  # SAMPLE documents a language, about
     if not rows:
         return None
     languages = sorted(counts)
     x = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, WINDOW)
-    return Network(languages).fit(x, np.array([languages.index(r[0]) for r in rows]))
+    return Network(languages).fit(x, np.repeat([languages.index(r[0]) for r in rows], [len(r[1]) // WINDOW for r in rows]))
 
 
-def _spread_windows(b: pa.RecordBatch) -> pa.RecordBatch:
-    """(lang, x): SAMPLE_WINDOWS windows of each text at most, evenly spread over it."""
+def _all_windows(b: pa.RecordBatch) -> pa.RecordBatch:
+    """(lang, x): all windows of each text, one after the other."""
     data, offsets = K.text_buffer(b.column(1))
-    langs, out = [], []
-    for k, lang in enumerate(b.column(0).to_pylist()):
-        d = data[offsets[k] : offsets[k + 1]]
-        x, _, _ = windows(d, np.array([0, len(d)]))
-        pick = np.unique(np.linspace(0, len(x) - 1, min(len(x), SAMPLE_WINDOWS)).astype(int)) if len(x) else []
-        out += [x[i].tobytes() for i in pick]
-        langs += [lang] * len(pick)
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "x"])
+    out = [windows(data[i:j], np.array([0, j - i]))[0].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(out, pa.binary())], ["lang", "x"])
 
 
 def identify(docs: DataFrame, network: Network | None = None, least: float = LEAST) -> DataFrame:
@@ -197,7 +176,9 @@ def identify(docs: DataFrame, network: Network | None = None, least: float = LEA
     null or empty text has no language (null, null) and is rejected; a tie goes
     to the first language in alphabetical order; where nothing is labelled all
     languages are null and all non-empty texts accepted. Repeated rows are
-    judged each. Other columns are not carried.
+    judged each, a text of any length by all its windows. An empty table gives
+    no row. Columns other than doc_id, text and lang are not read, so their
+    names can't clash.
     """
     network = network or train(docs)
     languages = np.array(network.languages if network else [""], dtype=object)
