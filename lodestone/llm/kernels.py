@@ -84,17 +84,50 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
+_SPACELESS = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x30FA), (0x30FC, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x323AF))
+_SIGNS = ((0xA0, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x60C, 0x60C), (0x61B, 0x61F), (0x6D4, 0x6D4), (0x964, 0x965), (0xE2F, 0xE2F), (0x2000, 0x206F), (0x20A0, 0x20CF), (0x2190, 0x2BFF), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303F), (0x30FB, 0x30FB), (0xFE30, 0xFE4F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where characters of more than one byte begin, how many bytes each has, and their code points."""
+    at = np.flatnonzero(data >= 0xC2)
+    size = np.where(data[at] >= 0xF0, 4, np.where(data[at] >= 0xE0, 3, 2))
+    whole = at + size <= len(data)
+    at, size = at[whole], size[whole]
+    code = np.where(size == 4, data[at] & 7, np.where(size == 3, data[at] & 15, data[at] & 31)).astype(np.int64)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | (data[at[more] + k] & 63)
+    return at, size, code
+
+
+def _among(code: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    k = np.searchsorted([a for a, _ in ranges], code, "right") - 1
+    return (k >= 0) & (code <= np.array([b for _, b in ranges])[k])
+
+
 class Tokens:
-    """Words (and marks, if wanted) of a block: ``start``, ``end``, ``hash``, ``first`` (index of each document's first token, n + 1)."""
+    """Words (and marks, if wanted) of a block: ``start``, ``end``, ``hash``, ``first`` (index of each document's first token, n + 1).
+
+    With ``wide`` signs beyond ASCII are marks too, and every character of a
+    script without spaces is a word.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, marks: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, marks: bool = False, wide: bool = False):
         kind = CLASS[data]
+        cuts = [offsets]
+        if wide:
+            at, size, code = characters(data)
+            sign, alone = _among(code, _SIGNS), _among(code, _SPACELESS)
+            for k in range(4):
+                kind[at[sign & (size > k)] + k] = MARK
+            cuts += [at[alone], (at + size)[alone]]
         if not marks:
             kind[kind == MARK] = SPACE
         n = len(data)
         change = np.ones(n + 1, bool)
         change[1:n] = kind[1:] != kind[:-1]
-        change[offsets] = True
+        change[np.concatenate(cuts)] = True
         cuts = np.flatnonzero(change)
         inside = kind[cuts[:-1]] != SPACE if n else np.zeros(0, bool)
         self.start, self.end = cuts[:-1][inside], cuts[1:][inside]

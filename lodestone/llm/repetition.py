@@ -1,10 +1,11 @@
 """Quality rules on repetition: how much of a text lies in repeated lines and n-grams.
 
 For each length n, words are hashed by a rolling hash (lower case, marks left
-out); the letters (bytes of words) in any occurrence of an n-gram that the document
-has more than once are counted once each, over the bytes of all its words. For
-lines, the bytes of lines that occur more than once, over those of all lines;
-lines are compared stripped, blank ones don't count.
+out); the characters in any occurrence of an n-gram that the document has more
+than once are counted once each, over the characters of all its words. In
+scripts without spaces each character is a word. For lines, the characters of
+lines that occur more than once, over those of all lines; lines are compared
+stripped, blank ones don't count.
 
 The rules follow the published Gopher/MassiveText thresholds, which count the
 repeats without their first occurrence; as every occurrence counts here, the
@@ -44,9 +45,10 @@ def shares(column: pa.Array) -> dict[str, np.ndarray]:
     out = {"words": np.zeros(n_docs, np.int64), "lines": np.zeros(n_docs)} | {f"ngram_{n}": np.zeros(n_docs) for n in LENGTHS}
     for i, j in K.blocks(offsets):
         d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        t = K.Tokens(d, o)
+        t = K.Tokens(d, o, wide=True)
         out["words"][i:j] = np.diff(t.first)
-        size = (t.end - t.start).astype(np.int64)
+        letters = np.r_[0, np.cumsum((d & 0xC0) != 0x80)]
+        size = letters[t.end] - letters[t.start]
         whole = np.maximum(1, np.bincount(t.doc, size, j - i))
         salt = K.mix(t.doc.astype(np.uint64) + np.uint64(1))
         for n, g, valid in t.grams(max(LENGTHS)):
@@ -60,11 +62,11 @@ def shares(column: pa.Array) -> dict[str, np.ndarray]:
             cover -= np.bincount(ends, minlength=len(g) + 1).astype(np.int32)
             inside = np.cumsum(cover[:-1]) > 0
             out[f"ngram_{n}"][i:j] = np.bincount(t.doc[inside], size[inside], j - i) / whole
-        out["lines"][i:j] = _lines(d, o)
+        out["lines"][i:j] = _lines(d, o, letters)
     return out
 
 
-def _lines(d: np.ndarray, o: np.ndarray) -> np.ndarray:
+def _lines(d: np.ndarray, o: np.ndarray, letters: np.ndarray) -> np.ndarray:
     n = len(o) - 1
     if not len(d):
         return np.zeros(n)
@@ -81,7 +83,7 @@ def _lines(d: np.ndarray, o: np.ndarray) -> np.ndarray:
     owner = doc[begin]
     h = K.span_hash(d, start, end)
     again = _repeated(K.mix(h ^ K.mix(owner.astype(np.uint64) + np.uint64(1))))
-    size = (end - start).astype(np.float64)
+    size = (letters[end] - letters[start]).astype(np.float64)
     return np.bincount(owner[again], size[again], n) / np.maximum(1, np.bincount(owner, size, n))
 
 
@@ -89,8 +91,10 @@ def rules(docs: DataFrame, bounds: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, words, lines, ngram_2 ... ngram_10, broken, keep) for each row; ``broken`` lists the rules whose bound is passed.
 
     A null, empty or wordless text has shares of 0 and is kept: it repeats
-    nothing. Shares are rounded to six places. Repeated rows are judged each; a
-    text of any length is judged whole. Other columns are not carried.
+    nothing. Shares are rounded to six places; a share equal to a bound keeps
+    the rule. Repeated rows are judged each; a text of any length is judged
+    whole. An empty table gives no row. Other columns are neither read nor
+    carried, so their names can't clash.
     """
     bounds = dict(RULES if bounds is None else bounds)
     names = ["words", "lines", *[f"ngram_{n}" for n in LENGTHS]]
