@@ -5,9 +5,9 @@ dictionary; every record follows as a frame of its own, so a reader that has
 the dictionary and an offset reads one record alone. The dictionary is built
 from the records that the file holds, all of them.
 
-Pages are assigned to files by a hash of url and page_id, so a file's content
-doesn't depend on how the input is laid out, a task that is run again gives the
-same bytes, and pages that share a url (or have none) are spread.
+Pages are assigned to files by a hash of url, page_id and html, so a file's
+content doesn't depend on how the input is laid out, a task that is run again
+gives the same bytes, and pages that share a url (or have none) are spread.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ SCHEMA = T.StructType(
 
 
 def record(page_id: int | None, url: str | None, html: str | None, date: str = DATE) -> bytes:
-    """A WARC/1.1 resource record. A null url leaves the target out, a null html is marked as such and has an empty block."""
+    """A WARC/1.1 resource record. A null url leaves the target out, line ends in one stand as %0D and %0A and are read back so, a null html is marked as such and has an empty block."""
     body = (html or "").encode()
     digest = hashlib.sha1(body).hexdigest()
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}\0{url}\0{digest}")
@@ -75,7 +75,7 @@ def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     import zstandard
 
     try:
-        return zstandard.train_dictionary(size, records, k=512, d=8, f=20, accel=2, steps=1, split_point=1.0).as_bytes()
+        return zstandard.train_dictionary(size, records, k=512, d=8, f=20, accel=1, steps=1, split_point=1.0).as_bytes()
     except zstandard.ZstdError:
         return b"".join(records)[-size:]
 
@@ -123,11 +123,12 @@ def frames(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     Concatenated in the order of ``record`` a file's frames are the file. Pages
     stand in the order of url, page_id and html. Null urls and payloads as for
     ``record``; empty, long and repeated ones are records like others; an empty
-    table gives no file. Columns other than page_id, url and html are not archived.
+    table gives no file. Columns other than page_id, url and html are not
+    archived, so their names can't clash.
     """
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html") + F.lit(400)), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // file_bytes))
-    rows = pages.select(F.pmod(F.xxhash64("url", "page_id"), F.lit(n)).cast("int").alias("file"), F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
+    rows = pages.select(F.pmod(F.xxhash64("url", "page_id", "html"), F.lit(n)).cast("int").alias("file"), F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, ids, raw = None, [], []
