@@ -142,19 +142,28 @@ class Counter:
 
 
 @lru_cache(maxsize=4)
-def counter(path: str, scores: str) -> Counter:
-    return Counter(*pieces(path, scores))
+def _vocabulary(path: str, scores: str) -> tuple[list[tuple[str, float]], bool]:
+    return pieces(path, scores)
+
+
+_counters: dict[tuple[str, str], Counter] = {}
 
 
 def counts(docs: DataFrame, vocabulary: str = VOCABULARY, scores: str = "zipf") -> DataFrame:
     """(doc_id, n_tokens) for each row: tokens of the whole text.
 
-    A null or empty text has 0. Repeated rows are counted each. Ties as said
-    above. Other columns are not read. ``vocabulary`` is a path that every executor can read.
+    A null or empty text has 0; a text of any length is searched whole. Repeated
+    rows are counted each. Ties as said above. An empty table gives no row.
+    Other columns are not read, so their names can't clash. ``vocabulary`` is a
+    path that the driver reads; its pieces, a bounded list, are sent to the executors.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(_vocabulary(vocabulary, scores))
+    name = (vocabulary, scores)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = counter(vocabulary, scores)
+        c = _counters.get(name)
+        if c is None:
+            c = _counters[name] = Counter(*sent.value)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([c.count(t or "") for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(batches(f), T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType())]))
