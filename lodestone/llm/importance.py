@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import kernels as K
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, pack, unpack
 
 BUCKETS = 1 << 15
 SMOOTHING = 50.0
@@ -124,23 +124,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SE
     return Model(_dense(weighted), _dense(raw.filter(F.col("lang").isin(list(t)))), good / n)
 
 
-def _keys(model: Model, doc_id: pa.Array, text: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log weights and the noisy keys; the noise depends on seed, doc_id and nothing else."""
+def _hash() -> Column:
+    return F.xxhash64("doc_id").alias("_h")
+
+
+def _keys(model: Model, hashes: pa.Array, text: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log weights and the noisy keys; the noise depends on seed, the doc_id's hash and nothing else."""
     w = model.log_weights(text)
-    ids = np.asarray(doc_id.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
-    return w, np.round(w - np.log(-np.log(K.stable_uniform(ids, seed))), 6)
+    return w, np.round(w - np.log(-np.log(K.stable_uniform(hashes.to_numpy().view(np.uint64), seed))), 6)
 
 
-def _cutoff(docs: DataFrame, model: Model, k: int | None, seed: int) -> float:
-    """The k-th greatest key: found among all keys by counts of ever finer spans, so nothing is sorted or gathered."""
+def _scored(docs: DataFrame, model: Model, seed: int) -> DataFrame:
+    """(doc_id, log_weight, key, good) of all documents, from a checkpoint: what follows reads no text again."""
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            w, key = _keys(model, b.column(0), b.column(1), seed)
+            w, key = _keys(model, b.column(1), b.column(2), seed)
             good = np.minimum(1.0, model.share * np.exp(np.minimum(w, 50)))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(good)], ["key", "good"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w), pa.array(key), pa.array(good)], ["doc_id", "log_weight", "key", "good"])
+
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(k, T.DoubleType()) for k in ("log_weight", "key", "good")]])
+    return cut(docs.select("doc_id", _hash(), "text").mapInArrow(f, schema))
+
 
-    keys = cut(docs.select("doc_id", "text").mapInArrow(f, "key double, good double"))
+def _cutoff(keys: DataFrame, k: int | None) -> float:
+    """The k-th greatest key: found among all keys by counts of ever finer spans, so nothing is sorted or gathered."""
     low, high, n, good = keys.agg(F.min("key"), F.max("key"), F.count("*"), F.sum(F.expr("cast(round(good * 1000000) as bigint)"))).first()
     if not n:
         return -np.inf
@@ -167,22 +175,18 @@ def _cutoff(docs: DataFrame, model: Model, k: int | None, seed: int) -> float:
 def sample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, log_weight, key) of the documents that are sampled.
 
-    Rows tied with the k-th key are all sampled, so are repeated rows; a null or
-    empty text has weight 1 (log 0), a null doc_id the noise of 0. Without a
-    good label in ``docs`` everything is sampled, with nulls. Other columns are not read.
+    Ids may be of any type. Rows tied with the k-th key are all sampled, so are
+    repeated rows; a null or empty text has weight 1 (log 0), a null doc_id the
+    noise of its hash; a text of any length is weighed whole. Without a good
+    label in ``docs`` everything is sampled, with nulls; an empty table gives no
+    row. Columns other than doc_id, text and lang are not read, so their names
+    can't clash.
     """
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("log_weight", T.DoubleType()), T.StructField("key", T.DoubleType())])
     model = fit(docs, labels, seed=seed)
     if model is None:
         return docs.select("doc_id", F.lit(None).cast("double").alias("log_weight"), F.lit(None).cast("double").alias("key"))
-    least = _cutoff(docs, model, k, seed)
-
-    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            w, key = _keys(model, b.column(0), b.column(1), seed)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w), pa.array(key)], ["doc_id", "log_weight", "key"]).filter(pa.array(key >= least))
-
-    return docs.select("doc_id", "text").mapInArrow(f, schema)
+    scored = _scored(docs, model, seed)
+    return scored.filter(F.col("key") >= _cutoff(scored, k)).drop("good")
 
 
 def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
@@ -190,11 +194,13 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: in
     model = fit(docs, labels, seed=seed)
     if model is None:
         return docs
-    least = _cutoff(docs, model, k, seed)
-    d, t = docs.columns.index("doc_id"), docs.columns.index("text")
+    least = _cutoff(_scored(docs, model, seed), k)
+    whole = pack(docs, _h=_hash())
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield b.filter(pa.array(_keys(model, b.column(d), b.column(t), seed)[1] >= least))
+            row = b.column(0)
+            held = pa.array(_keys(model, b.column(1), row.field("text"), seed)[1] >= least)
+            yield pa.RecordBatch.from_arrays([row.filter(held)], ["_row"])
 
-    return docs.mapInArrow(f, docs.schema)
+    return unpack(whole.mapInArrow(f, T.StructType([whole.schema["_row"]])))

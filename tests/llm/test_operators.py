@@ -238,7 +238,7 @@ def test_importance_takes_the_greatest_keys(spark, hard, labels):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     known = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     model = importance.fit(docs, known)
-    t = docs.select("doc_id", "text").toArrow().combine_chunks()
+    t = docs.select(importance._hash(), "text").toArrow().combine_chunks()
     _, keys = importance._keys(model, t.column(0).combine_chunks(), t.column(1), importance.SEED)
     got = importance.sample(docs, known, k=50).collect()
     assert sorted(r["key"] for r in got) == sorted(keys)[-50:]
