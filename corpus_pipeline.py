@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps half of the tokens, with equal weights of the sources, in the order of the mixture."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, mixing.TARGET, others=mixing.OTHERS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
