@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -21,14 +23,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     given = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = tempfile.mkdtemp(prefix="checkpoint-")
+        atexit.register(shutil.rmtree, given, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(given)
     return given
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that we wrote, wherever Spark's file systems reach it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a reliable checkpoint, so that what follows neither recomputes them nor depends on one executor."""
     checkpoint_dir(df.sparkSession)

@@ -86,8 +86,8 @@ def mixture(docs: DataFrame, weights: Mapping[str, float] | None = None, budget:
     """
     light, total = finish_times(docs, weights, others, seed)
     chosen = _within_budget(light, total, budget, share)
-    out = chosen.select("doc_id", "source", "tokens", F.col("_vft").alias("virtual_finish"), "mixture_tokens")
-    return out.orderBy("virtual_finish", "source", "mixture_tokens")
+    placed = chosen.orderBy("_vft", "source", "_key", "doc_id", "_tie")
+    return placed.select("doc_id", "source", "tokens", F.col("_vft").alias("virtual_finish"), "mixture_tokens")
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, budget: int | None = None, share: float = SHARE, seed: str = SEED, others: float = 0.0) -> DataFrame:
