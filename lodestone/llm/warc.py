@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 MAGIC = 0x184D2A5D
 FILE_BYTES = 16 << 20
 """Uncompressed payload that a file holds, about; all of it is in a task's memory."""
+FILES = 64
+"""That a task makes in turn, at most; each task has as many as the others, but for one."""
 DICTIONARY_BYTES = 110 << 10
 LEVEL = 3
 DATE = "2020-01-01T00:00:00Z"
@@ -143,8 +145,8 @@ def frames(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
         if raw:
             yield _file(file, ids, raw)
 
-    parts = min(n, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, "file").sortWithinPartitions("file", "url", "page_id", "html").mapInArrow(f, SCHEMA)
+    parts = max(min(n, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-n // FILES))
+    return rows.repartitionById(parts, F.col("file") % parts).sortWithinPartitions("file", "url", "page_id", "html").mapInArrow(f, SCHEMA)
 
 
 def _file(no: int, ids: list[int | None], raw: list[bytes]) -> pa.RecordBatch:
