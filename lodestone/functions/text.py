@@ -4,6 +4,8 @@
 text; both are JVM expressions. ``tokens_unicode`` is the general Unicode
 tokenizer as an Arrow function: NFKC and case folding, runs of letters, numbers
 and marks of one script, character pairs for scripts without spaces.
+``tokens_any`` is the latter for every text, but hands over to Python only what
+the JVM's can't tell.
 """
 
 from __future__ import annotations
@@ -47,7 +49,6 @@ tibetan f00-fff
 myanmar 1000-109f
 georgian 10a0-10ff
 hangul 1100-11ff 3130-318f ac00-d7af
-ethiopic 1200-137f
 khmer 1780-17ff
 hiragana 3041-309f
 katakana 30a0-30ff 31f0-31ff ff66-ff9f
@@ -122,6 +123,16 @@ def tokens_latin(text: Column) -> Column:
     return F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
 
 
+_BEYOND = "[^\\x00-\\x7f\\u00c0-\\u012f\\u0131\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e\\u00a1\\u00a7\\u00ab\\u00bb\\u00bf\\u2013\\u2014\\u2018-\\u201f\\u2026]"
+"""Characters outside those that NFKC leaves alone and whose case folding is their lower case, but for ß."""
+
+
+def tokens_any(text: Column) -> Column:
+    """The Unicode tokenizer. Other texts than plainly Latin ones go through Arrow; of the rest it is handed nulls."""
+    beyond = F.coalesce(text.rlike(_BEYOND), F.lit(False))
+    return F.when(beyond, tokens_unicode(F.when(beyond, text))).otherwise(tokens_latin(text))
+
+
 def words(items: Iterable[str]) -> Column:
     return F.array(*[F.lit(w) for w in sorted(items)])
 
@@ -159,7 +170,16 @@ def first_sentence(text: Column) -> Column:
     return F.regexp_extract(text, "^[^.!?]+", 0)
 
 
-_SPACES = " \t\n\r\f\v 　"
+_SPACES = frozenset(" \t\n\r\f\v\u00a0\u3000")
+_LONGEST = max(map(len, T.ABBREVIATIONS))
+
+
+def _word_before(text: str, begin: int, end: int) -> str:
+    """The word that ends there, in lower case; of one longer than any abbreviation only its end."""
+    at = end
+    while at > begin and end - at <= _LONGEST and text[at - 1] not in _SPACES:
+        at -= 1
+    return text[at:end].lower()
 
 
 def split_claims(text: str) -> list[str]:
@@ -173,12 +193,12 @@ def split_claims(text: str) -> list[str]:
         ch = text[i]
         end = ch == "\n"
         if ch in T.TERMINATORS:
+            run = i
             while i + 1 < n and text[i + 1] in T.TERMINATORS:
                 i += 1
             after = text[i + 1] if i + 1 < n else ""
             before = text[i - 1] if i else ""
-            last = text[begin : i + 1].rstrip(T.TERMINATORS)
-            last = re.split(f"[{_SPACES}]", last)[-1].lower()
+            last = _word_before(text, begin, run)
             decimal = before in set("0123456789") and after in set("0123456789")
             short = last in T.ABBREVIATIONS or len(last) == 1 and last.isalpha()
             glued = after != "" and after not in _SPACES and ch in ".!?"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators.retrieval import top
+from lodestone.sources.shared import cut
 
 LETTERS = 4
 
@@ -52,3 +56,80 @@ def neighbors_of(needles: DataFrame, units: DataFrame) -> DataFrame:
     own = held.select("w", F.explode("w").alias("label")).join(F.broadcast(chosen.select("label").distinct()), "label")  # a label a needle at most
     counted = own.select("label", F.explode("w").alias("neighbor")).filter("label <> neighbor").groupBy("label", "neighbor").agg(F.count("*").alias("weight"))
     return chosen.join(counted, "label").select("needle", "label", "neighbor", "weight")
+
+
+def node_id(label: Column) -> Column:
+    return F.concat(F.lit("node:"), F.lower(F.trim(label)))
+
+
+def sane(entities: DataFrame, relations: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A model's graph as it may be kept: (node_id, label, refs), (source, target, weight, relation).
+
+    Entities (label, refs) keep references to units that exist and go without
+    any; relations (source, target, weight, relation) keep to entities that are
+    left, with a weight of 1 at least.
+    """
+    named = entities.select(F.trim("label").alias("label"), F.explode("refs").alias("unit")).filter("label <> ''")
+    held = named.join(units.select(F.col("unit").cast("string")), "unit", "left_semi").groupBy("label").agg(F.array_sort(F.collect_set("unit")).alias("refs"))
+    kept = held.select("label")
+    r = relations.select(F.trim("source").alias("source"), F.trim("target").alias("target"), "weight", "relation")
+    r = r.join(kept.withColumnRenamed("label", "source"), "source", "left_semi").join(kept.withColumnRenamed("label", "target"), "target", "left_semi")
+    weight = F.greatest(F.coalesce(F.col("weight").cast("bigint"), F.lit(1).cast("bigint")), F.lit(1).cast("bigint"))
+    edge = r.select(node_id(F.col("source")).alias("source"), node_id(F.col("target")).alias("target"), weight.alias("weight"), F.nullif(F.trim("relation"), F.lit("")).alias("relation"))
+    return held.select(node_id(F.col("label")).alias("node_id"), "label", "refs"), edge
+
+
+def distil(units: DataFrame, model: Callable[[str], dict] | None) -> tuple[DataFrame, DataFrame]:
+    """(label, refs), (source, target, weight, relation): by a model, a call a unit, made sane; without one the co-mention graph. A unit whose call fails gives nothing. ``units``: (unit, text)."""
+    if model is None:
+        n = unit_terms(units).groupBy(F.col("term").alias("label")).agg(F.array_sort(F.collect_set(F.col("unit").cast("string"))).alias("refs"))
+        return n.select(node_id(F.col("label")).alias("node_id"), "label", "refs"), edges(units).withColumn("relation", F.lit(None).cast("string"))
+
+    def f(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            rows = []
+            for unit, text in b[["unit", "text"]].itertuples(index=False):
+                try:
+                    said = model(text or "")
+                except Exception:
+                    continue
+                rows += [("entity", x.get("label"), None, 1, None, [str(r) for r in x.get("eu_refs", [unit])]) for x in said.get("entities", [])]
+                rows += [("relation", x.get("source"), x.get("target"), x.get("weight", 1), x.get("relation"), []) for x in said.get("relations", [])]
+            yield pd.DataFrame(rows, columns=["kind", "a", "b", "weight", "relation", "refs"])
+
+    said = cut(units.select(F.col("unit").cast("string"), "text").mapInPandas(f, "kind string, a string, b string, weight bigint, relation string, refs array<string>"))
+    entities = said.filter("kind = 'entity'").select(F.col("a").alias("label"), "refs")
+    relations = said.filter("kind = 'relation'").select(F.col("a").alias("source"), F.col("b").alias("target"), "weight", "relation")
+    return sane(entities, relations, units)
+
+
+def key_edges(sources: DataFrame) -> DataFrame:
+    """(document_id, source, target, relation): references between the tables of DDL texts and between the parts of OpenAPI ones. ``sources``: (document_id, content, source_type)."""
+    from lodestone.sources import extract
+
+    def f(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            rows = []
+            for doc, content, kind in b.itertuples(index=False):
+                text = bytes(content or b"").decode(errors="replace")
+                if kind == "ddl":
+                    rows += [(doc, a, c, "foreign key") for a, c in extract.foreign_keys(text)]
+                elif kind == "openapi":
+                    rows += [(doc, a, c, "reference") for a, c in extract.references(text)]
+            yield pd.DataFrame(rows, columns=["document_id", "source", "target", "relation"])
+
+    return sources.select("document_id", "content", "source_type").mapInPandas(f, "document_id string, source string, target string, relation string").distinct()
+
+
+def structural(symbols: DataFrame, calls: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label, path, refs), (source, target, relation, confidence): an exported graph of code symbols, grounded in units that hold their lines.
+
+    ``symbols``: (label, path, line), ``calls``: (source, target, relation,
+    confidence), ``units``: (eu_id, path, first, last). A symbol outside all
+    units goes, and so do the edges that touch it.
+    """
+    within = (F.col("s.path") == F.col("u.path")) & F.col("s.line").between(F.col("u.first"), F.col("u.last"))
+    held = symbols.alias("s").join(units.alias("u"), within).groupBy("s.label", "s.path").agg(F.array_sort(F.collect_set("u.eu_id")).alias("refs"))
+    kept = held.select("label").distinct()
+    edge = calls.join(kept.withColumnRenamed("label", "source"), "source", "left_semi").join(kept.withColumnRenamed("label", "target"), "target", "left_semi")
+    return held, edge.select("source", "target", "relation", "confidence")

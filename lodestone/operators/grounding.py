@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import gate as G
 from lodestone.functions import text as X
+from lodestone.sources.shared import cut
 
 
 def coverage_pairs(claims: DataFrame, docs: DataFrame, least: float = 1.0) -> DataFrame:
@@ -14,21 +15,22 @@ def coverage_pairs(claims: DataFrame, docs: DataFrame, least: float = 1.0) -> Da
 
     Exact, without comparing all pairs: a text that covers the share must hold
     one of the claim's few rarest tokens, so only texts with one of these are
-    held against the claim. A claim without content tokens is covered by nothing.
+    held against the claim. Texts are read once: what they hold of the claims'
+    tokens is cut. A claim without content tokens is covered by nothing.
     """
     if not 0 < least <= 1:
         raise ValueError("the least coverage lies above 0 and is 1 at most")
-    c = claims.select("claim_id", X.content(X.tokens_latin(F.col("claim"))).alias("c")).filter(F.size("c") > 0)
-    d = docs.select("doc_id", F.array_distinct(X.tokens_latin(F.col("text"))).alias("t"))
+    c = claims.select("claim_id", X.content(X.tokens_any(F.col("claim"))).alias("c")).filter(F.size("c") > 0)
     terms = c.select("claim_id", F.size("c").alias("n"), F.explode("c").alias("term"))
-    found = d.select("doc_id", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    d = docs.select("doc_id", F.explode(F.array_distinct(X.tokens_any(F.col("text")))).alias("term"))
+    found = cut(d.join(terms.select("term").distinct(), "term", "left_semi").distinct())
     freq = found.groupBy("term").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("claim_id").orderBy(F.coalesce("df", F.lit(0)), "term")
     keys = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1
     rare = terms.join(freq, "term", "left").withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= keys).select("claim_id", "term")
     candidates = rare.join(found, "term").select("claim_id", "doc_id").distinct()
-    share = F.size(F.array_intersect("c", "t")) / F.size("c")
-    pairs = candidates.join(c, "claim_id").join(d, "doc_id").select("claim_id", "doc_id", F.round(share, 6).alias("coverage"))
+    shared = candidates.join(terms, "claim_id").join(found, ["doc_id", "term"]).groupBy("claim_id", "doc_id").agg((F.count("*") / F.first("n")).alias("share"))
+    pairs = shared.select("claim_id", "doc_id", F.round("share", 6).alias("coverage"))
     return pairs.filter(F.col("coverage") >= F.round(F.lit(least), 6))
 
 
@@ -48,8 +50,8 @@ def verify(claims: DataFrame, cited: DataFrame) -> DataFrame:
 
     ``cited``: (claim_id, doc_id, text, rank).
     """
-    c = claims.select("claim_id", X.content(X.tokens_latin(F.col("claim"))).alias("c"))
-    lacking = F.size(F.array_except("c", X.tokens_latin(F.col("text"))))
+    c = claims.select("claim_id", X.content(X.tokens_any(F.col("claim"))).alias("c"))
+    lacking = F.size(F.array_except("c", X.tokens_any(F.col("text"))))
     each = cited.join(c, "claim_id").select("claim_id", "doc_id", "rank", lacking.cast("bigint").alias("n_missing"), ((lacking == 0) & (F.size("c") > 0)).alias("supported"))
     best = F.min_by(F.struct("doc_id", "supported", "n_missing"), F.struct(~F.col("supported"), "n_missing", "rank"))
     return each.groupBy("claim_id").agg(best.alias("b")).select("claim_id", "b.*")

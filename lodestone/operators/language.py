@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from lodestone.functions import tables as T
 from lodestone.functions import text as X
@@ -31,3 +37,89 @@ def code_mixed(shares: Column, strong: float = MIXED) -> Column:
     """Whether the two greatest shares are both strong."""
     best = F.slice(F.sort_array(shares, asc=False), 1, 2)
     return (F.size(best) == 2) & F.forall(best, lambda s: s >= strong)
+
+
+_OF_SCRIPT = dict(p.split(":") for p in "latin:en cyrillic:ru greek:el hebrew:he arabic:ar devanagari:hi bengali:bn tamil:ta telugu:te kannada:kn malayalam:ml gujarati:gu gurmukhi:pa thai:th hangul:ko hiragana:ja katakana:ja cjk:zh".split())
+
+
+def detect(text: str, default: str = "en") -> tuple[str, float, bool]:
+    """(language, confidence, reliable): by the script that most letters have, of Latin ones by cue words; confidence is that script's share of the letters."""
+    names: Counter[str] = Counter()
+    for ch, n in Counter(text).items():
+        if ch.isalpha() and (name := unicodedata.name(ch, "")):
+            names[name.split(" ")[0].lower()] += n
+    total = sum(names.values())
+    if not total:
+        return default, 0.0, False
+    first = {s: text.index(next(c for c in text if c.isalpha() and unicodedata.name(c, "").lower().split(" ")[0] == s)) for s in names}
+    script = min(names, key=lambda s: (-names[s], first[s]))
+    share = names[script] / total
+    lang = _OF_SCRIPT.get(script, default)
+    if script == "latin":
+        held = {w for w in text.lower().split() if w.isalpha()}
+        best = 0
+        for code, cues in T.LATIN_CUES.items():
+            if (hits := len(held & cues)) > best:
+                best, lang = hits, code
+    return lang, share, share >= RELIABLE
+
+
+@F.pandas_udf(StructType([StructField("language", StringType()), StructField("confidence", DoubleType()), StructField("reliable", BooleanType())]))
+def detected(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([detect(t or "") for t in text], columns=["language", "confidence", "reliable"])
+
+
+def requested(explicit: Column, found: Column, conversation: Column, default: str = "en") -> Column:
+    """The answer's language; what was detected (a ``detected`` struct) counts only where ``auto`` was asked for."""
+    auto = F.coalesce(explicit == "auto", F.lit(False))
+    return answer_language(explicit, F.when(auto, found["language"]), F.when(auto, found["confidence"]), conversation, default)
+
+
+_SPOKEN = """
+latin en fr de es pt it nl pl tr vi id sw
+cyrillic ru uk
+greek el
+hebrew he
+arabic ar fa ur
+devanagari hi mr ne
+bengali bn as
+tamil ta
+thai th
+hangul ko
+han zh
+han+hiragana+katakana ja
+telugu te
+kannada kn
+malayalam ml
+gujarati gu
+gurmukhi pa
+oriya or
+sinhala si
+khmer km
+lao lo
+myanmar my
+georgian ka
+armenian hy
+"""
+SPOKEN = {code: tuple(line.split()[0].split("+")) for line in _SPOKEN.strip().splitlines() for code in line.split()[1:]}
+"""The scripts of each language that may be searched for."""
+
+
+class CannotSearch(ValueError):
+    """A language is unknown, or written in a script that the tokenizer doesn't support."""
+
+
+def search_languages(codes: Iterable[str]) -> list[str]:
+    """The languages in the order asked for, each once. An unknown one, one of an unsupported script, or none at all, is an error before any work is done."""
+    out: list[str] = []
+    for raw in codes:
+        code = raw.strip().lower()
+        if code not in SPOKEN:
+            raise CannotSearch(f"unknown language {raw!r}")
+        if missing := [s for s in SPOKEN[code] if s not in X.SUPPORTED]:
+            raise CannotSearch(f"{code} is written in {missing[0]}, which is not supported")
+        if code not in out:
+            out.append(code)
+    if not out:
+        raise CannotSearch("name at least one language")
+    return out

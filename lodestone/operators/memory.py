@@ -31,3 +31,11 @@ def recall(queries: DataFrame, turns: DataFrame, limit: int = RECALL) -> DataFra
     order = Window.partitionBy("conv_id").orderBy(F.desc("hits"), F.desc("idx"))
     kept = hits.withColumn("_most", most).filter("hits > 0 OR _most = 0")
     return kept.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= limit).select("conv_id", "idx", "hits", "rank")
+
+
+def expanded(queries: DataFrame, turns: DataFrame, limit: int = RECALL) -> DataFrame:
+    """(conv_id, query): what is searched for, the recalled turns' texts in their rank before the query; a conversation without any gives the query itself."""
+    held = recall(queries, turns, limit).join(turns, ["conv_id", "idx"])
+    said = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "question", "answer").alias("t")))), lambda s: s["t"])
+    context = held.groupBy("conv_id").agg(F.array_join(said, " ").alias("_c"))
+    return queries.join(context, "conv_id", "left").select("conv_id", F.concat_ws(" ", "_c", "query").alias("query"))

@@ -1,11 +1,13 @@
 """Ranked retrieval for many questions in one plan.
 
 Retrievers map (questions, k) to ranked candidates: (question_id, doc_id, score,
-rank), rank from 1. Ties go to the lesser doc_id.
+rank), rank from 1. Ties go to the lesser doc_id. Texts are cut into tokens once
+for all questions and all variants of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.sources.shared import cut
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -22,9 +25,9 @@ BLOCK, SLACK = 4096, 2e-6
 """Vectors of a block at most, about; what the rounding of distances to six digits may change their order by, and more."""
 
 
-def top(scored: DataFrame, k: int, by: str = "question_id", item: str = "doc_id", least: bool = False) -> DataFrame:
+def top(scored: DataFrame, k: int, by: str | Sequence[str] = "question_id", item: str = "doc_id", least: bool = False) -> DataFrame:
     """The k best of each question; the planner cuts each task's rows to k before the shuffle."""
-    order = Window.partitionBy(by).orderBy(F.asc("score") if least else F.desc("score"), item)
+    order = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.asc("score") if least else F.desc("score"), item)
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
@@ -33,95 +36,109 @@ def doc_stats(docs: DataFrame, toks: Column) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(toks)).alias("avg_len"))
 
 
-def bm25_scores(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """(question_id, doc_id, score) for every document that shares a token with the question."""
-    toks = docs.select("doc_id", X.tokens_latin(F.col("text")).alias("t"))
-    terms = questions.select("question_id", F.explode(F.array_distinct(X.tokens_latin(F.col("question")))).alias("term"))
-    stats = doc_stats(toks, F.col("t"))
-    found = toks.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    postings = found.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    freq = postings.groupBy("term").agg(F.count("*").alias("df"))
-    rows = terms.join(freq, "term").join(postings, "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return rows.groupBy("question_id", "doc_id").agg(F.round(F.sum(idf * weight), 6).alias("score"))
+def question_terms(variants: Sequence[DataFrame]) -> DataFrame:
+    """(list, question_id, term): the distinct tokens of the questions of each variant."""
+    each = [q.select(F.lit(i).alias("list"), "question_id", F.explode(F.array_distinct(X.tokens_any(F.col("question")))).alias("term")) for i, q in enumerate(variants)]
+    return reduce(DataFrame.unionByName, each)
 
 
-def bm25(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    return top(bm25_scores(questions, docs).filter("score > 0"), k)
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, term, tf, len) of the given terms, and for every document a row of the empty term, from one pass over the texts.
 
+    The rows are cut: lengths, frequencies and scores all come from them.
+    """
+    toks = docs.select("doc_id", F.coalesce(X.tokens_any(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    wanted = terms.select("term").distinct().union(terms.sparkSession.createDataFrame([("",)], "term string"))
+    each = toks.select("doc_id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    return cut(each.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")))
+
+
+def bm25_lists(variants: Sequence[DataFrame], docs: DataFrame, k: int | None = None) -> DataFrame:
+    """(list, question_id, doc_id, score, rank): the k best documents (all, without k) for the questions of each variant."""
+    terms = question_terms(variants)
+    held = postings(docs, terms)
+    stats = held.filter("term = ''").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    some = held.filter("term <> ''")
+    freq = some.groupBy("term").agg(F.count("*").alias("df"))
+    rows = terms.join(freq, "term").join(some, "term").crossJoin(F.broadcast(stats))  # one row
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    scored = rows.groupBy("list", "question_id", "doc_id").agg(F.round(F.sum(idf * weight), 6).alias("score")).filter("score > 0")
+    return scored if k is None else top(scored, k, ["list", "question_id"])
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
+def bm25(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    return bm25_lists([questions], docs, k).drop("list")
+
+
+def _nearest(t: pa.Table, k: int, metric: str, dim: int) -> pa.Table:
+    """The k nearest of the rows that are asked about, for each of those that ask: a matrix product preselects, with ``SLACK`` for its error; distances are then taken directly."""
+    asks = t.column("asks").to_numpy()
+    ids = t.column("id").to_numpy()
+    x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    norm = (x * x).sum(axis=1)
+    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    out: list[tuple[np.ndarray, ...]] = []
+    for i in range(0, len(left) if len(right) else 0, 512):
+        at = left[i : i + 512]
+        if metric == "l2":
+            d = norm[at][:, None] + norm[right] - 2 * (x[at] @ x[right].T)
+            slack = SLACK + 1e-12 * (norm[at][:, None] + norm[right].max())
+        else:
+            d = 1 - (x[at] @ x[right].T) / np.sqrt(norm[at][:, None] * norm[right])
+            slack = SLACK
+        last = min(k, len(right)) - 1
+        p, c = np.nonzero(d <= np.partition(d, last, axis=1)[:, last : last + 1] + slack)
+        a, b = at[p], right[c]
+        if metric == "l2":
+            far = ((x[a] - x[b]) ** 2).sum(axis=1)
+        else:
+            far = 1 - (x[a] * x[b]).sum(axis=1) / (np.sqrt(norm[a]) * np.sqrt(norm[b]))
+        far = np.round(far, 6) + 0.0  # no -0.0
+        order = np.lexsort((ids[b], far, p))
+        p, a, b, far = p[order], a[order], b[order], far[order]
+        begin = np.searchsorted(p, np.arange(len(at)))
+        keep = np.arange(len(p)) - begin[p] < k
+        out.append((ids[a][keep], ids[b][keep], far[keep]))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table({"question_id": pa.array(cols[0]), "vec_id": pa.array(cols[1]), "distance": pa.array(cols[2])})
+
+
+def vector_top(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", dim: int = 64) -> DataFrame:
+    """(question_id, vec_id, distance, score, rank): the k nearest of (vec_id, embedding) to each of (question_id, q); score is 1 / (1 + distance).
+
+    Both ids are keys of integers; vectors that ``vector_reason`` calls unfit are
+    neither searched nor found. Exact: either side is cut into blocks of about
+    ``BLOCK``, each pair of blocks gives the k nearest of its own, and of a
+    query's candidates from all blocks the k nearest stay. A vector is sent once
+    for each block of queries, a query once for each block of vectors.
+    """
+    fit = vectors.filter(vector_reason(F.col("embedding"), dim).isNull()).select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    ask = queries.filter(vector_reason(F.col("q"), dim).isNull()).select(F.col("question_id").cast("bigint").alias("id"), F.col("q").cast("array<double>").alias("v"))
+    rows, cols = (max(1, -(-df.count() // BLOCK)) for df in (ask, fit))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asking = ask.select(place(rows).alias("r"), every(cols).alias("c"), F.lit(True).alias("asks"), "id", "v")
+    asked = fit.select(every(rows).alias("r"), place(cols).alias("c"), F.lit(False).alias("asks"), "id", "v")
+    near = asking.unionByName(asked).groupBy("r", "c").applyInArrow(lambda t: _nearest(t, k, metric, dim), "question_id bigint, vec_id bigint, distance double")
+    order = Window.partitionBy("question_id").orderBy("distance", "vec_id")
+    ranked = near.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+    return ranked.select("question_id", "vec_id", "distance", score_of(F.col("distance")).alias("score"), "rank")
 
-def vector_distances(queries: DataFrame, vectors: DataFrame, metric: str = "l2") -> DataFrame:
-    """(question_id, vec_id, distance); ``queries`` are (question_id, q), ``vectors`` (vec_id, embedding)."""
-    pairs = vectors.crossJoin(queries)
-    if metric == "l2":
-        d = F.aggregate(F.zip_with("embedding", "q", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
-    else:
-        e, q = F.col("embedding"), F.col("q")
-        d = 1 - _dot(e, q) / (F.sqrt(_dot(e, e)) * F.sqrt(_dot(q, q)))
-    return pairs.select("question_id", "vec_id", F.round(d, 6).alias("distance"))
 
+DIM = 64
 
-def vector_top(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    near = vector_distances(queries, vectors, metric).select("question_id", "vec_id", (1 / (1 + F.col("distance"))).alias("score"), "distance")
-    order = Window.partitionBy("question_id").orderBy("distance", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
+def embedded(rows: DataFrame, dim: int = DIM) -> DataFrame:
+    """(id, v) of (id, text): the embedder without a model. A token's place is its SHA-1 modulo ``dim``, a power of two up to 256; counts are scaled to length 1. A text without a token has no vector."""
+    at = F.conv(F.substring(F.sha1(F.col("t").cast("binary")), 39, 2), 16, 10).cast("int") % dim
+    each = rows.select("id", F.explode(X.tokens_any(F.col("text"))).alias("t")).groupBy("id", at.alias("at")).agg(F.count("*").cast("double").alias("n"))
+    held = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)) / F.col("norm")).alias("v"))
 
-def vector_top_all(vectors: DataFrame, k: int, metric: str = "l2", dim: int = 64) -> DataFrame:
-    """(question_id, vec_id, distance, rank): the k nearest of all (vec_id, embedding) to each of them, itself among them.
 
-    ``vec_id`` is a key; vectors that ``vector_reason`` calls unfit are neither
-    searched nor found. Exact: vectors are cut into blocks of about ``BLOCK``,
-    each pair of blocks gives the k nearest of its own by a matrix product that
-    only preselects, with ``SLACK`` for its error; distances are then taken
-    directly, and of a vector's candidates from all blocks the k nearest stay.
-    """
-    fit = vectors.filter(vector_reason(F.col("embedding"), dim).isNull()).select("vec_id", "embedding")
-    n = max(1, -(-fit.count() // BLOCK))
-    own = fit.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asking = own.select(F.col("block").alias("q"), every.alias("v"), F.lit(True).alias("asks"), "vec_id", "embedding")
-    asked = own.select(every.alias("q"), F.col("block").alias("v"), F.lit(False).alias("asks"), "vec_id", "embedding")
-
-    def f(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy()
-        ids = t.column("vec_id").to_numpy()
-        x = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        norm = (x * x).sum(axis=1)
-        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out: list[tuple[np.ndarray, ...]] = []
-        for i in range(0, len(left) if len(right) else 0, 512):
-            at = left[i : i + 512]
-            if metric == "l2":
-                d = norm[at][:, None] + norm[right] - 2 * (x[at] @ x[right].T)
-                slack = SLACK + 1e-12 * (norm[at][:, None] + norm[right].max())
-            else:
-                d = 1 - (x[at] @ x[right].T) / np.sqrt(norm[at][:, None] * norm[right])
-                slack = SLACK
-            last = min(k, len(right)) - 1
-            p, c = np.nonzero(d <= np.partition(d, last, axis=1)[:, last : last + 1] + slack)
-            a, b = at[p], right[c]
-            if metric == "l2":
-                far = ((x[a] - x[b]) ** 2).sum(axis=1)
-            else:
-                far = 1 - (x[a] * x[b]).sum(axis=1) / (np.sqrt(norm[a]) * np.sqrt(norm[b]))
-            far = np.round(far, 6) + 0.0  # no -0.0
-            order = np.lexsort((ids[b], far, p))
-            p, a, b, far = p[order], a[order], b[order], far[order]
-            begin = np.searchsorted(p, np.arange(len(at)))
-            keep = np.arange(len(p)) - begin[p] < k
-            out.append((ids[a][keep], ids[b][keep], far[keep]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"question_id": pa.array(cols[0]), "vec_id": pa.array(cols[1]), "distance": pa.array(cols[2])})
-
-    near = asking.unionByName(asked).groupBy("q", "v").applyInArrow(f, "question_id bigint, vec_id bigint, distance double")
-    order = Window.partitionBy("question_id").orderBy("distance", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+def score_of(distance: Column) -> Column:
+    return 1 / (1 + distance)
 
 
 def vector_reason(v: Column, dim: int) -> Column:
@@ -136,24 +153,33 @@ def vector_reason(v: Column, dim: int) -> Column:
     )
 
 
-def fuse(lists: list[DataFrame], k: int = RRF_K, item: str = "doc_id") -> DataFrame:
+def fuse(lists: DataFrame | Sequence[DataFrame], k: int = RRF_K, item: str = "doc_id") -> DataFrame:
     """Reciprocal rank fusion: (question_id, item, score, best_list), the sum of 1 / (k + rank) over the lists.
 
-    ``best_list`` is the list that gave the highest raw score, the first of equal ones.
+    The lists come apart, or as one with a column ``list``. ``best_list`` is the
+    list that gave the highest raw score, the first of equal ones.
     """
-    every = reduce(DataFrame.unionByName, [d.select("question_id", item, "rank", "score", F.lit(i).alias("list")) for i, d in enumerate(lists)])
+    if isinstance(lists, DataFrame):
+        every = lists.select("question_id", item, "rank", "score", "list")
+    else:
+        every = reduce(DataFrame.unionByName, [d.select("question_id", item, "rank", "score", F.lit(i).alias("list")) for i, d in enumerate(lists)])
     return every.groupBy("question_id", item).agg(
         F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("fused"),
         F.max_by("list", F.struct("score", -F.col("list"))).alias("best_list"),
     ).select("question_id", item, F.col("fused").alias("score"), "best_list")
 
 
+def spread(candidates: DataFrame) -> DataFrame:
+    """(question_id, spread): between the highest and the lowest score of each question."""
+    return candidates.groupBy("question_id").agg(F.round(F.max("score") - F.min("score"), 6).alias("spread"))
+
+
 def rerank(fused: DataFrame, questions: DataFrame, docs: DataFrame, k: int, head: int = RERANK_HEAD) -> DataFrame:
     """Orders the first ``head`` of each question by the share of its content tokens that the text has; the rest follows as fused."""
-    ranked = top(fused, 1 << 30).withColumnRenamed("score", "fused")
-    q = questions.select("question_id", X.content(X.tokens_latin(F.col("question"))).alias("qc"))
+    ranked = cut(top(fused, 1 << 30)).withColumnRenamed("score", "fused")
+    q = questions.select("question_id", X.content(X.tokens_any(F.col("question"))).alias("qc"))
     first = ranked.filter(F.col("rank") <= head).join(docs.select("doc_id", "text"), "doc_id").join(q, "question_id")
-    overlap = F.round(F.size(F.array_intersect("qc", X.tokens_latin(F.col("text")))) / F.greatest(F.size("qc"), F.lit(1)), 6)
+    overlap = F.round(F.size(F.array_intersect("qc", X.tokens_any(F.col("text")))) / F.greatest(F.size("qc"), F.lit(1)), 6)
     first = first.select("question_id", "doc_id", "fused", "rank", overlap.alias("score"))
     rest = ranked.filter(F.col("rank") > head).select("question_id", "doc_id", "fused", "rank", F.lit(-1.0).alias("score"))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,17 +80,121 @@ def in_scope(rows: DataFrame, allowed: DataFrame, levels: list[str]) -> DataFram
 
 
 def closure(spark: SparkSession) -> DataFrame:
-    """(seed, layer): every layer that must be built again when one changes."""
-    rows = [(k, v) for k, vs in LAYERS.items() for v in vs]
-    spark.createDataFrame(rows, "up string, down string").createOrReplaceTempView("lodestone_layers")
-    spark.createDataFrame([(k,) for k in LAYERS], "layer string").createOrReplaceTempView("lodestone_seeds")
-    return spark.sql(
-        "WITH RECURSIVE reach(seed, layer) AS (SELECT layer, layer FROM lodestone_seeds UNION ALL SELECT r.seed, l.down FROM reach r JOIN lodestone_layers l ON r.layer = l.up) SELECT DISTINCT seed, layer FROM reach"
-    )
+    """(seed, layer): every layer that must be built again when one changes. The layers are a closed list."""
+    rows = []
+    for seed in LAYERS:
+        reached, todo = set(), [seed]
+        while todo:
+            at = todo.pop()
+            if at not in reached:
+                reached.add(at)
+                todo += LAYERS[at]
+        rows += [(seed, x) for x in sorted(reached)]
+    return spark.createDataFrame(rows, "seed string, layer string")
+
+
+STAGES = {"extractor": "extract", "ocr": "ocr", "vision": "vision", "chunker": "eu_chunk", "embedding": "embedding", "structure": "structure", "graph": "graph", "summary": "community_summary"}
+"""The layer that each stage of a stamp makes."""
+
+
+def changed_stages(current: dict[str, str], stamps: DataFrame) -> DataFrame:
+    """(document_id, layer): layers whose stage has another version in the document's stamp, or none, than now. ``stamps``: (document_id, stage, version)."""
+    spark = stamps.sparkSession
+    now = spark.createDataFrame([(k, v, STAGES[k]) for k, v in current.items()], "stage string, now string, layer string")
+    every = stamps.select("document_id").distinct().crossJoin(F.broadcast(now))  # a closed list of stages
+    both = every.join(stamps.select("document_id", "stage", "version"), ["document_id", "stage"], "left")
+    return both.filter(~F.col("version").eqNullSafe(F.col("now"))).select("document_id", "layer")
+
+
+def rebuild_layers(current: dict[str, str], stamps: DataFrame) -> DataFrame:
+    """(document_id, layer): all that must be built again for each document."""
+    seeds = changed_stages(current, stamps).withColumnRenamed("layer", "seed")
+    return seeds.join(F.broadcast(closure(stamps.sparkSession)), "seed").select("document_id", "layer").distinct()
 
 
 def rebuild_plan(current: dict[str, str], stamps: DataFrame) -> DataFrame:
-    """(layer): the closure of all stages whose stamp (stage, version) differs from the current one."""
-    now = stamps.sparkSession.createDataFrame(list(current.items()), "stage string, now string")
-    seeds = stamps.join(F.broadcast(now), "stage").filter(~F.col("version").eqNullSafe(F.col("now"))).select(F.col("stage").alias("seed")).distinct()
-    return closure(stamps.sparkSession).join(seeds, "seed", "left_semi").select("layer").distinct()
+    """(layer): what must be built again for any of the documents."""
+    return rebuild_layers(current, stamps).select("layer").distinct()
+
+
+TOKENIZER = 2
+"""The version of the tokenizer that indexes are made with."""
+
+
+def history(versions: DataFrame) -> DataFrame:
+    """(doc_id, checksum, retired): the latest checksum of each document and, in order, the others that it ever had.
+
+    ``versions``: (doc_id, seq, checksum). A checksum that comes back is no longer retired.
+    """
+    each = versions.groupBy("doc_id").agg(F.max_by("checksum", "seq").alias("checksum"), F.collect_set("checksum").alias("_all"))
+    return each.select("doc_id", "checksum", F.array_sort(F.array_except("_all", F.array("checksum"))).alias("retired"))
+
+
+def forget(manifest: DataFrame, gone: DataFrame) -> DataFrame:
+    """The manifest without the documents, their history included; one that it doesn't have changes nothing."""
+    return manifest.join(gone.select("doc_id"), "doc_id", "left_anti")
+
+
+def stale(partitions: DataFrame, version: int = TOKENIZER) -> DataFrame:
+    """Partitions whose index was made by another tokenizer; one without a version was made by the first."""
+    return partitions.filter(F.coalesce("version", F.lit(1)) != version)
+
+
+def indexed(manifest: DataFrame, units: DataFrame) -> DataFrame:
+    """(doc_id, checksum) of all that the index holds: what the manifest says, and documents of which only units are there."""
+    loose = units.join(manifest.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.min("checksum").alias("checksum"))
+    return manifest.select("doc_id", "checksum").unionByName(loose)
+
+
+def cascade(layers: dict[str, DataFrame], manifest: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
+    """What is left of each layer once documents are revoked.
+
+    ``layers`` keyed by doc_id lose their rows; ``blobs`` (checksum) lose those
+    that the documents had, now or ever, and that no other document has now.
+    ``manifest``: (doc_id, checksum, retired), which is left last: while a
+    document is in it, it is there.
+    """
+    gone = gone.select("doc_id").distinct()
+    mine = manifest.join(gone, "doc_id", "left_semi")
+    left = forget(manifest, gone)
+    owned = mine.select(F.explode(F.array_union(F.array("checksum"), "retired")).alias("checksum")).distinct()
+    dead = owned.join(left.select("checksum"), "checksum", "left_anti")
+    out = {k: df.join(dead, "checksum", "left_anti") if k == "blobs" else df.join(gone, "doc_id", "left_anti") for k, df in layers.items()}
+    return out | {"manifest": left}
+
+
+def orphans(report: DataFrame) -> DataFrame:
+    """(doc_id): what remediation of a report revokes: its orphans and nothing else."""
+    return report.filter("status = 'orphan'").select("doc_id")
+
+
+def path_of(levels: list[str]) -> Column:
+    """A partition's path: ``level=value`` segments."""
+    return F.concat_ws("/", *[F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in levels])
+
+
+def layer_prefix(layer: str, levels: list[str]) -> Column:
+    return F.concat(F.lit(f"{layer}/"), path_of(levels))
+
+
+def is_prefix(path: Column, of: Column) -> Column:
+    """Whether an array of segments begins another."""
+    return F.slice(of, 1, F.size(path)) == path
+
+
+def resolve_scope(scope: dict[str, str], hierarchy: list[str]) -> list[tuple[str, str]]:
+    """The scope's levels in order; they must be the hierarchy's first ones, without a gap or a level that it doesn't have."""
+    if unknown := set(scope) - set(hierarchy):
+        raise ValueError(f"unknown levels {sorted(unknown)}")
+    path = [(k, scope[k]) for k in hierarchy if k in scope]
+    if [k for k, _ in path] != hierarchy[: len(path)]:
+        raise ValueError("a scope has no gap")
+    return path
+
+
+def acl(rows: DataFrame, column: str, allowed: Callable[[object], bool] | None = None) -> DataFrame:
+    """Rows whose ``column`` the predicate allows; all without one."""
+    if allowed is None:
+        return rows
+    test = F.pandas_udf(lambda s: s.map(lambda v: bool(allowed(v))), "boolean")
+    return rows.filter(test(F.col(column)))

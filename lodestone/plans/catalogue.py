@@ -15,6 +15,7 @@ from lodestone.functions import text as X
 from lodestone.operators import answer, authority, conflict, graph, grounding, jobs, language, memory, retrieval, state, structure, telemetry, units, wiki
 from lodestone.plans import sql as S
 from lodestone.sources import extract, web
+from lodestone.sources.shared import cut
 from lodestone.streaming import telemetry as stream_telemetry
 
 K = 10
@@ -45,9 +46,9 @@ def questions(spark: SparkSession, d: str, how: Callable[[Column], Column] = X.f
     return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), how(F.col("text")).alias("question"))
 
 
-def _lists(spark: SparkSession, d: str) -> list[DataFrame]:
-    docs = table(spark, d, "documents")
-    return [retrieval.bm25(questions(spark, d, how), docs, K) for how in (X.first_sentence, last_sentence)]
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    variants = [questions(spark, d, how) for how in (X.first_sentence, last_sentence)]
+    return retrieval.bm25_lists(variants, table(spark, d, "documents"), K)
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -64,18 +65,18 @@ def term_counts(spark, d):
 
 @query(f"SELECT term, count(*) AS n FROM (SELECT unnest({S.tokens('text')}) AS term FROM documents) GROUP BY term")
 def term_counts_unicode(spark, d):
-    return table(spark, d, "documents").select(F.explode(X.tokens_latin(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return table(spark, d, "documents").select(F.explode(X.tokens_any(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, CAST(len(c) AS BIGINT) AS n, array_to_string(list_sort(c), ' ') AS tokens FROM (SELECT doc_id, {S.content(S.tokens('text'))} AS c FROM documents)")
 def content_tokens(spark, d):
-    c = X.content(X.tokens_latin(F.col("text")))
+    c = X.content(X.tokens_any(F.col("text")))
     return table(spark, d, "documents").select("doc_id", F.size(c).cast("bigint").alias("n"), F.array_join(F.array_sort(c), " ").alias("tokens"))
 
 
 @query(f"SELECT count(*) AS n_docs, round(avg(len({S.tokens('text')})), 6) AS avg_len FROM documents")
 def doc_stats(spark, d):
-    s = retrieval.doc_stats(table(spark, d, "documents"), X.tokens_latin(F.col("text")))
+    s = retrieval.doc_stats(table(spark, d, "documents"), X.tokens_any(F.col("text")))
     return s.select("n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
@@ -108,43 +109,31 @@ def bm25_topk(spark, d):
     return _candidates(spark, d).select("question_id", "doc_id", "score", "rank")
 
 
-def _centroids(spark: SparkSession, d: str) -> DataFrame:
-    """A query for each label: the mean of its vectors."""
-    each = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = each.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    q = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("q"))
-    return q.select(F.col("label").alias("question_id"), "q")
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 100."""
+    return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"))
 
 
 _NEAR = """
-WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-m AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY label, i),
-q AS (SELECT label AS question_id, list(m ORDER BY i) AS q FROM m GROUP BY label),
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+q AS (SELECT vec_id AS question_id, v AS q FROM e WHERE vec_id % 100 = 0),
 s AS (SELECT question_id, vec_id, round({distance}, 6) AS distance FROM e, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, vec_id) AS rank FROM s)
-SELECT question_id, vec_id, distance, rank FROM r WHERE rank <= {k}"""
+SELECT question_id, vec_id, distance, round(1 / (1 + distance), 6) AS score, rank FROM r WHERE rank <= {k}"""
+
+
+def _found(near: DataFrame) -> DataFrame:
+    return near.select("question_id", "vec_id", "distance", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_NEAR.format(distance="list_sum(list_transform(list_zip(v, q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))", k=K))
 def vector_topk_l2(spark, d):
-    """Of the labels' mean vectors only, as the SQL; ``vector_topk_l2_all`` searches for every row."""
-    return retrieval.vector_top(_centroids(spark, d), table(spark, d, "embeddings"), K).select("question_id", "vec_id", "distance", "rank")
+    return _found(retrieval.vector_top(_asked(spark, d), table(spark, d, "embeddings"), K))
 
 
 @query(_NEAR.format(distance="1 - list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q)))", k=K))
 def vector_topk_cosine(spark, d):
-    """Of the labels' mean vectors only, as the SQL; ``vector_topk_cosine_all`` searches for every row."""
-    return retrieval.vector_top(_centroids(spark, d), table(spark, d, "embeddings"), K, "cosine").select("question_id", "vec_id", "distance", "rank")
-
-
-@query()
-def vector_topk_l2_all(spark, d):
-    return retrieval.vector_top_all(table(spark, d, "embeddings"), K)
-
-
-@query()
-def vector_topk_cosine_all(spark, d):
-    return retrieval.vector_top_all(table(spark, d, "embeddings"), K, "cosine")
+    return _found(retrieval.vector_top(_asked(spark, d), table(spark, d, "embeddings"), K, "cosine"))
 
 
 @query("SELECT 'fit' AS reason, count(*) AS n FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0")
@@ -242,9 +231,14 @@ def authority_floor(spark, d):
     return authority.select(_candidates(spark, d), _tiers(spark, d), "strict", 1).select("question_id", "doc_id", "tier_rank", "place")
 
 
-@query()
+_PRICED = """(SELECT concat_ws('/', p_brand, p_type) AS "group", row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) - 1 AS position, p_retailprice AS price FROM part)"""
+_CONTRARY = f"""(SELECT a."group", CAST(a.position AS INTEGER) AS "left", CAST(b.position AS INTEGER) AS "right", 'value' AS rule
+FROM {_PRICED} a JOIN {_PRICED} b ON a."group" = b."group" AND a.position < b.position AND a.price <> b.price)"""
+
+
+@query(f"SELECT * FROM {_CONTRARY}")
 def conflict_pairs(spark, d):
-    """Statements of list prices, in groups by brand and type."""
+    """Statements of list prices, in groups by brand and type: two that name different prices contradict each other."""
     said = F.format_string("The list price of %s parts of brand %s is %s usd", F.lower("p_type"), F.col("p_brand"), F.col("p_retailprice").cast("string"))
     order = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")
     rows = table(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("group"), (F.row_number().over(order) - 1).alias("position"), said.alias("text"))
@@ -491,15 +485,13 @@ def upsert_units(spark, d):
 
 @query()
 def ask_strict(spark, d):
-    docs = table(spark, d, "documents")
-    return answer.ask_strict(questions(spark, d), retrieval.top(retrieval.fuse(_lists(spark, d)), K), docs)
+    return answer.ask_strict(questions(spark, d), cut(retrieval.top(retrieval.fuse(_lists(spark, d)), K)), table(spark, d, "documents"))
 
 
 @query()
 def ask_curated(spark, d):
     """Only documents of good standing may be cited."""
-    docs = table(spark, d, "documents")
-    return answer.ask_strict(questions(spark, d), retrieval.top(retrieval.fuse(_lists(spark, d)), K), docs, _tiers(spark, d), 1)
+    return answer.ask_strict(questions(spark, d), cut(retrieval.top(retrieval.fuse(_lists(spark, d)), K)), table(spark, d, "documents"), _tiers(spark, d), 1)
 
 
 @query()
@@ -509,9 +501,9 @@ def refusal_reasons(spark, d):
 
 @query()
 def ask_deep(spark, d):
-    hops = [questions(spark, d, how) for how in (X.first_sentence, last_sentence)]
+    """Each item's own text is the draft that is held against the evidence."""
     drafts = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("draft"))
-    return answer.ask_deep(hops, drafts, table(spark, d, "documents"))
+    return answer.ask_deep(questions(spark, d), table(spark, d, "documents"), drafts=drafts)
 
 
 @query()
@@ -599,7 +591,19 @@ def language_detect(spark, d):
     return table(spark, d, "documents").select("doc_id", language.latin_language(F.col("text")).alias("language"))
 
 
-@query()
+_STEP = f"""CASE
+  WHEN kind = 'lease' AND status IN ('queued', 'failed') THEN {{'s': 'running', 'n': tries}}
+  WHEN kind = 'done' AND status = 'running' THEN {{'s': 'done', 'n': tries}}
+  WHEN kind = 'fail' AND status = 'running' THEN {{'s': CASE WHEN tries + 1 >= {jobs.MOST} THEN 'dead' ELSE 'failed' END, 'n': tries + 1}}
+  WHEN kind = 'redrive' AND status = 'dead' THEN {{'s': 'queued', 'n': 0}} ELSE {{'s': status, 'n': tries}} END"""
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT user_id AS job, CASE event_type WHEN 'view' THEN 'lease' WHEN 'signup' THEN 'lease' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'redrive' END AS kind,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT DISTINCT job, 0 AS i, {{'s': 'queued', 'n': 0}} AS now FROM e
+  UNION ALL SELECT job, i, {_STEP} FROM (SELECT e.job, e.i, e.kind, f.now.s AS status, f.now.n AS tries FROM f JOIN e ON e.job = f.job AND e.i = f.i + 1))
+SELECT job, arg_max(now.s, i) AS status, CAST(arg_max(now.n, i) AS BIGINT) AS attempts FROM f GROUP BY job""")
 def job_state(spark, d):
     """The events of a user as a job's transitions."""
     kind = F.create_map(*[F.lit(x) for x in ("view", "lease", "signup", "lease", "error", "fail", "purchase", "done", "click", "redrive")])[F.col("event_type")]
@@ -621,7 +625,13 @@ def page_links(spark, d):
     return web.links(table(spark, d, "pages"))
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT DISTINCT url, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host FROM (SELECT regexp_replace(url, '#.*$', '') AS url FROM pages)), n AS (SELECT url, row_number() OVER (PARTITION BY host ORDER BY url) - 1 AS depth FROM p)
+SELECT url, CAST(depth AS INTEGER) AS depth FROM n WHERE depth <= {web.DEPTH} ORDER BY depth, url LIMIT {web.PAGES}""")
 def link_crawl(spark, d):
-    pages = table(spark, d, "pages")
-    return web.crawl(pages, pages.agg(F.min("url").alias("url")))
+    """From the first page of each host; each page has a link to the host's next one, and to one of another host."""
+    pages = table(spark, d, "pages").select(F.regexp_replace("url", "#.*$", "").alias("url"), "html").dropDuplicates(["url"])
+    following = F.lead("url").over(Window.partitionBy(web.host(F.col("url"))).orderBy("url"))
+    link = F.concat(F.lit("<a href='"), F.replace(following, F.lit("&"), F.lit("&amp;")), F.lit("'>n</a><A HREF=https://other.example/x>o</A>"))
+    linked = pages.select("url", F.concat("html", F.coalesce(link, F.lit(""))).alias("html"))
+    return web.crawl(linked, pages.groupBy(web.host(F.col("url"))).agg(F.min("url").alias("url")).select("url"))

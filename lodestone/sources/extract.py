@@ -2,12 +2,13 @@
 
 ``extract`` maps rows (document_id, content, source_type) through the parser of
 their type; parsers are plain functions over bytes and need only the standard
-library. PDF has no parser here: ``PARSERS["pdf"]`` takes one.
+library.
 """
 
 from __future__ import annotations
 
 import ast
+import base64
 import csv
 import io
 import json
@@ -21,9 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "document_id string, block int, kind string, text string, level int, page int, path array<string>, cells array<string>"
+from lodestone.sources import pdf
+
+SCHEMA = "document_id string, block int, kind string, text string, level int, page int, path array<string>, cells array<string>, error string"
 Block = dict
-EXTENSIONS = {"txt": "txt", "text": "txt", "csv": "csv", "md": "md", "markdown": "md", "html": "html", "htm": "html", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "pdf": "pdf", "py": "code", "sql": "ddl", "json": "openapi", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "webp": "image"}
+EXTENSIONS = {"txt": "txt", "text": "txt", "csv": "csv", "md": "md", "markdown": "md", "html": "html", "htm": "html", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "pdf": "pdf", "py": "code", "go": "code", "sql": "ddl", "json": "openapi", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "webp": "image"}
 
 
 def source_type(path: Column) -> Column:
@@ -293,19 +296,80 @@ def xlsx(content: bytes) -> list[Block]:
     return out
 
 
+_GO = re.compile(r"^(?:func|type|const|var)\b", re.M)
+
+
 def code(content: bytes) -> list[Block]:
-    """A Python module's functions and classes word for word, what precedes them as one block; a module that doesn't parse is one block."""
+    """Functions, classes and their methods of a Python or Go source word for word, with their first and last line in ``cells``; what precedes them is one block, and so is a source that doesn't parse."""
     text = content.decode(errors="replace")
+    if re.search(r"^package\s+\w+", text, re.M):
+        return _go(text)
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError):
         return [_block(text, "code")] if text.strip() else []
     lines = text.splitlines()
-    symbols = [n for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+    kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
     begin = lambda n: min([n.lineno, *(d.lineno for d in n.decorator_list)])
-    head = "\n".join(lines[: begin(symbols[0]) - 1] if symbols else lines).strip()
+    symbols = [(n, [n.name]) for n in tree.body if isinstance(n, kinds)]
+    first = begin(symbols[0][0]) if symbols else len(lines) + 1
+    symbols = [x for n, path in symbols for x in [(n, path), *((m, [*path, m.name]) for m in (n.body if isinstance(n, ast.ClassDef) else []) if isinstance(m, kinds[:2]))]]
+    head = "\n".join(lines[: first - 1]).strip()
     out = [_block(head, "code")] if head else []
-    return out + [_block("\n".join(lines[begin(n) - 1 : n.end_lineno]), "code", path=[n.name]) for n in symbols]
+    return out + [_block("\n".join(lines[begin(n) - 1 : n.end_lineno]), "code", path=path, cells=[str(begin(n)), str(n.end_lineno)]) for n, path in symbols]
+
+
+def _go(text: str) -> list[Block]:
+    """Declarations at the left margin, each up to the bracket that closes it or its line's end."""
+    bare = re.sub(r"`[^`]*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|//[^\n]*|/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+    out: list[Block] = []
+    end = 0
+    for m in _GO.finditer(bare):
+        if m.start() < end:
+            continue
+        depth, i = 0, m.start()
+        while i < len(bare) and not (bare[i] == "\n" and depth == 0):
+            depth += {"(": 1, "{": 1, "[": 1, ")": -1, "}": -1, "]": -1}.get(bare[i], 0)
+            i += 1
+        if not out and (head := text[: m.start()].strip()):
+            out.append(_block(head, "code"))
+        name = re.match(r"func\s*(?:\([^)]*\)\s*)?(\w+)|(?:type|const|var)\s+(\w+)", bare[m.start() : i])
+        lines = [text.count("\n", 0, m.start()) + 1, text.count("\n", 0, i) + 1]
+        out.append(_block(text[m.start() : i].rstrip(), "code", path=[name[1] or name[2]] if name else [], cells=[str(x) for x in lines]))
+        end = i
+    return out or ([_block(text, "code")] if text.strip() else [])
+
+
+VENDORED = frozenset(".git node_modules vendor venv .venv __pycache__ build dist target".split())
+
+
+def code_files(files: DataFrame) -> DataFrame:
+    """The Python and Go files of (path, ...), those of vendored and built directories left out."""
+    inside = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in sorted(VENDORED)]))
+    return files.filter(F.col("path").rlike(r"\.(py|go)$") & ~inside)
+
+
+def schema_type(path: Column, text: Column) -> Column:
+    """``ddl`` or ``openapi`` by the file's name, else by its text; null for what is neither."""
+    json_like = F.ltrim(text).startswith("{") & text.rlike(r'"(openapi|swagger|\$defs|definitions|\$schema)"')
+    return F.when(F.lower(path).endswith(".sql"), "ddl").when(F.lower(path).rlike(r"\.(json|ya?ml)$|openapi"), "openapi").when(text.rlike(r"(?i)\bcreate\s+table\b"), "ddl").when(json_like, "openapi")
+
+
+def image(content: bytes) -> list[Block]:
+    """One block: the picture inlined if it is of a known type and no larger than ``INLINE_BYTES``, else without text; what isn't inlined is still sent to a model from its bytes."""
+    kinds = ((b"\x89PNG\r\n\x1a\n", "png"), (b"\xff\xd8\xff", "jpeg"), (b"GIF87a", "gif"), (b"GIF89a", "gif"))
+    kind = next((k for magic, k in kinds if content.startswith(magic)), "webp" if content[:4] == b"RIFF" and content[8:12] == b"WEBP" else None)
+    if kind is None or len(content) > INLINE_BYTES:
+        return [_block("", "image")]
+    return [_block(f"![image](data:image/{kind};base64,{base64.b64encode(content).decode()})", "image")]
+
+
+INLINE_BYTES = 256 << 10
+
+
+def portable(content: bytes) -> list[Block]:
+    """A paragraph block for each page of a PDF file that draws text."""
+    return [_block(pdf.logical_tamil(text), page=no) for no, text in enumerate(pdf.pages(content), 1) if text]
 
 
 _SKIP = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/", re.S)
@@ -335,6 +399,29 @@ def foreign_keys(sql: str) -> list[tuple[str, str]]:
     return [(name, m[1].strip('"`[]')) for a, b, name in ddl_tables(sql) for m in re.finditer(r"(?i)\breferences\s+([\w.\"`\[\]]+)", _SKIP.sub(lambda m: m[0] if m[0][0] == '"' else " ", sql[a:b]))]
 
 
+def references(text: str) -> list[tuple[str, str]]:
+    """(part, part that it refers to) of each ``$ref`` in an OpenAPI or JSON-Schema text, by their names."""
+    try:
+        doc = json.loads(text)
+    except ValueError:
+        return []
+    out = []
+    for group in _GROUPS:
+        for name, value in _parts(doc, group):
+            found = re.findall(r'"\$ref":\s*"([^"]+)"', json.dumps(value))
+            out += [(name, r.rstrip("/").split("/")[-1]) for r in found]
+    return out
+
+
+_GROUPS = (("paths",), ("components", "schemas"), ("definitions",), ("$defs",))
+
+
+def _parts(doc: object, group: tuple[str, ...]) -> list[tuple[str, object]]:
+    for k in group:
+        doc = doc.get(k) if isinstance(doc, dict) else None
+    return list(doc.items()) if isinstance(doc, dict) else []
+
+
 def openapi(content: bytes) -> list[Block]:
     """The objects under paths, components.schemas, definitions and $defs, as they stand in the text."""
     text = content.decode(errors="replace")
@@ -343,35 +430,34 @@ def openapi(content: bytes) -> list[Block]:
     except ValueError:
         return [_block(text)] if text.strip() else []
     out: list[Block] = []
-    at = 0
-    for group in (("paths",), ("components", "schemas"), ("definitions",), ("$defs",)):
-        node = doc
-        for k in group:
-            node = node.get(k) if isinstance(node, dict) else None
-        for name, value in (node or {}).items() if isinstance(node, dict) else ():
-            found = _span(text, group[-1], name, value)
-            out.append(_block(found or json.dumps(value), "schema", path=[*group, name]))
-            at += 1
+    for group in _GROUPS:
+        at = max(0, text.find(json.dumps(group[-1])))
+        for name, value in _parts(doc, group):
+            found = _span(text, at, name, value)
+            out.append(_block(text[slice(*found)] if found else json.dumps(value), "schema", path=[*group, name]))
+            at = found[1] if found else at  # parts come in their order, so the text is gone through once a group
     return out
 
 
-def _span(text: str, group: str, name: str, value: object) -> str | None:
-    start = text.find(json.dumps(group))
+def _span(text: str, at: int, name: str, value: object) -> tuple[int, int] | None:
     decode = json.JSONDecoder().raw_decode
-    for m in re.finditer(re.escape(json.dumps(name)) + r"\s*:\s*", text[max(0, start) :]):
-        begin = max(0, start) + m.start()
-        got, end = decode(text, max(0, start) + m.end())
+    for m in re.compile(re.escape(json.dumps(name)) + r"\s*:\s*").finditer(text, at):
+        got, end = decode(text, m.end())
         if got == value:
-            return text[begin:end]
+            return m.start(), end
     return None
 
 
-PARSERS: dict[str, Callable[[bytes], list[Block]]] = {"plain": plain, "txt": txt, "csv": table, "md": markdown, "html": html, "docx": docx, "pptx": pptx, "xlsx": xlsx, "code": code, "ddl": ddl, "openapi": openapi}
+PARSERS: dict[str, Callable[[bytes], list[Block]]] = {"plain": plain, "txt": txt, "csv": table, "md": markdown, "html": html, "docx": docx, "pptx": pptx, "xlsx": xlsx, "code": code, "ddl": ddl, "openapi": openapi, "pdf": portable, "image": image}
+
 
+def extract(documents: DataFrame, more: dict[str, Callable[[bytes], list[Block]]] | None = None) -> DataFrame:
+    """Blocks of rows (document_id, content, source_type); null content has no block.
 
-def extract(documents: DataFrame) -> DataFrame:
-    """Blocks of rows (document_id, content, source_type); a type without a parser is read as plain text, null content has no block."""
-    parsers = dict(PARSERS)
+    A document that can't be parsed, or whose type has no parser, gives one row
+    with ``error`` and no text, and stops no other. ``more``: parsers by type, before those of ``PARSERS``.
+    """
+    parsers = PARSERS | (more or {})
 
     def f(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
@@ -379,10 +465,18 @@ def extract(documents: DataFrame) -> DataFrame:
             for doc, content, kind in b.itertuples(index=False):
                 if content is None:
                     continue
-                for k, x in enumerate(parsers.get(kind, plain)(bytes(content))):
-                    rows.append((doc, k, x["kind"], x["text"], x.get("level"), x.get("page"), x.get("path", []), x.get("cells", [])))
-            out = pd.DataFrame(rows, columns=["document_id", "block", "kind", "text", "level", "page", "path", "cells"])
-            yield out.astype({"level": "Int32", "page": "Int32"})
+                if kind not in parsers:
+                    rows.append((doc, None, None, None, None, None, None, None, f"no parser for {kind}"))
+                    continue
+                try:
+                    found = parsers[kind](bytes(content))
+                except Exception as e:  # whatever a damaged file makes a parser raise
+                    rows.append((doc, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    continue
+                for k, x in enumerate(found):
+                    rows.append((doc, k, x["kind"], x["text"], x.get("level"), x.get("page"), x.get("path", []), x.get("cells", []), None))
+            out = pd.DataFrame(rows, columns=["document_id", "block", "kind", "text", "level", "page", "path", "cells", "error"])
+            yield out.astype({"block": "Int32", "level": "Int32", "page": "Int32"})
 
     return documents.select(F.col("document_id").cast("string"), F.col("content").cast("binary"), "source_type").mapInPandas(f, SCHEMA)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.sources.shared import shared_folder
@@ -10,18 +10,37 @@ from lodestone.sources.shared import shared_folder
 PAGES, DEPTH = 50, 3
 
 
+_HREF = """(?i)<a\\s[^>]*?href\\s*=\\s*("[^"]*"|'[^']*'|[^\\s"'>]+)"""
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(url, target) as written in the page, each once."""
-    return pages.select("url", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))).alias("target")).distinct()
+    """(url, target) as written in the page's anchors, each once; quotes of either kind or none, the common entities decoded."""
+    raw = F.explode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1)))
+    bare = pages.select("url", raw.alias("t")).select("url", F.regexp_replace("t", "^[\"']|[\"']$", "").alias("t"))
+    plain = F.col("t")
+    for entity, ch in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(ch))
+    return bare.select("url", F.trim(plain).alias("target")).filter("target <> ''").distinct()
+
+
+def host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, "(?i)^[a-z][a-z0-9+.-]*://([^/?#]+)", 1))
 
 
 def resolved(edges: DataFrame) -> DataFrame:
     """Targets against their page's address, without fragments, on the same host only."""
-    host = F.regexp_extract("url", "^[a-z]+://[^/]+", 0)
+    root = F.regexp_extract("url", "(?i)^[a-z][a-z0-9+.-]*://[^/?#]+", 0)
     bare = F.regexp_replace("target", "#.*$", "")
-    full = F.when(bare.rlike("^[a-z]+://"), bare).when(bare.startswith("/"), F.concat(host, bare)).otherwise(F.concat(F.regexp_replace("url", "[^/]*$", ""), bare))
-    rows = edges.select("url", full.alias("target"), host.alias("_host"))
-    return rows.filter(F.col("target").startswith(F.col("_host"))).select("url", "target").distinct()
+    folder = F.when(F.regexp_extract("url", "(?i)^[a-z][a-z0-9+.-]*://[^/?#]+(/.*)?$", 1) == "", F.concat("url", F.lit("/"))).otherwise(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "[^/]*$", ""))
+    full = (
+        F.when(bare == "", F.col("url"))
+        .when(bare.rlike("(?i)^[a-z][a-z0-9+.-]*:"), bare)
+        .when(bare.startswith("//"), F.concat(F.regexp_extract("url", "(?i)^[a-z][a-z0-9+.-]*:", 0), bare))
+        .when(bare.startswith("/"), F.concat(root, bare))
+        .otherwise(F.concat(folder, bare))
+    )
+    rows = edges.select("url", full.alias("target"))
+    return rows.filter(host(F.col("target")) == host(F.col("url"))).distinct()
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, depth: int = DEPTH, most: int = PAGES) -> DataFrame:

@@ -3,6 +3,7 @@
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,13 +36,19 @@ def test_comention_over_the_chunks_of_all_documents(spark, tmp_path):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-def test_every_vector_is_a_query(spark, monkeypatch, metric, tmp_path):
+def test_nearest_vectors_against_all_pairs(spark, monkeypatch, metric):
     monkeypatch.setattr(retrieval, "BLOCK", 60)
-    fit = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").filter("vec_id < 200")
-    copies = fit.filter("vec_id < 15").select((F.col("vec_id") % 2 * 1000 + 1000 + F.col("vec_id")).alias("vec_id"), "embedding").union(fit.filter("vec_id = 3").crossJoin(spark.range(5000, 5020)).select(F.col("id"), "embedding"))
-    fit = fit.union(copies)
-    unfit = spark.createDataFrame([(9001, None), (9002, [0.0] * 64), (9003, [1.0]), (9004, [float("nan")] * 64)], "vec_id bigint, embedding array<float>")
-    fit.union(unfit).write.parquet(f"{tmp_path}/embeddings.parquet")
-    shown = lambda df: sorted((r["question_id"], r["rank"], r["vec_id"], round(r["distance"], 6) + 0.0) for r in df.collect())
-    want = shown(retrieval.vector_top(fit.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q")), fit, 10, metric))
-    assert shown(QUERIES[f"vector_topk_{metric}_all"](spark, str(tmp_path))) == want and len(want) == 10 * fit.count()
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").filter("vec_id < 200").collect()
+    rows = [(r[0], list(r[1])) for r in rows] + [(1000 + i, list(rows[3][1])) for i in range(25)]
+    x = np.array([r[1] for r in rows], np.float64)
+    ids = np.array([r[0] for r in rows])
+    if metric == "l2":
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+    else:
+        d = 1 - x @ x.T / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1))
+    d = np.round(d, 6)
+    want = {(int(ids[i]), r, int(ids[j])) for i in range(len(ids)) for r, j in enumerate(sorted(range(len(ids)), key=lambda j: (d[i, j], ids[j]))[:10], 1)}
+    unfit = [(9001, None), (9002, [0.0] * 64), (9003, [1.0]), (9004, [float("nan")] * 64)]
+    df = spark.createDataFrame(rows + unfit, "vec_id bigint, embedding array<double>")
+    got = retrieval.vector_top(df.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q")), df, 10, metric)
+    assert {(r["question_id"], r["rank"], r["vec_id"]) for r in got.collect()} == want
