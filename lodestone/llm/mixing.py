@@ -55,16 +55,16 @@ def _tie(text: str = "text") -> Column:
 
 def finish_times(docs: DataFrame, weights: Mapping[str, float] | None, others: float, seed: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, tokens, _tie, _key, _weight, _cum, _vft) of the documents whose source has a weight, and the budget's base: one row with the tokens of all."""
-    light = docs.select("doc_id", "source", tokens().alias("tokens"), _tie().alias("_tie"), shuffle_key(seed, "doc_id").alias("_key"))
+    light = docs.select("doc_id", "source", tokens().alias("tokens"), _tie().alias("_tie"), shuffle_key(seed, "doc_id").alias("_key"), F.monotonically_increasing_id().alias("_no"))
     df = cut(light.withColumn("_weight", _weight(F.col("source"), weights, others)).filter("_weight > 0"))
     total = df.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("_total"))
-    df = ranged(df, [F.col("source"), F.col("_key"), F.col("doc_id"), F.col("_tie")])
-    df = running(df, "tokens", [F.col("_key"), F.col("doc_id"), F.col("_tie")], F.col("_piece"), ["source"], "_cum")
+    within = [F.col("_key"), F.col("doc_id"), F.col("_tie"), F.col("_no")]  # the last tells equal rows apart
+    df = running(ranged(df, [F.col("source"), *within]), "tokens", within, F.col("_piece"), ["source"], "_cum")
     return cut(df.withColumn("_vft", F.col("_cum").cast("double") / F.col("_weight"))), total
 
 
 def _within_budget(df: DataFrame, total: DataFrame, budget: int | None, share: float) -> DataFrame:
-    order = [F.col("_vft"), F.col("source"), F.col("_key"), F.col("doc_id"), F.col("_tie")]
+    order = [F.col("_vft"), F.col("source"), F.col("_key"), F.col("doc_id"), F.col("_tie"), F.col("_no")]
     df = running(ranged(df, order), "tokens", order, F.col("_piece"), out="mixture_tokens")
     if budget is not None:
         return df.filter(F.col("mixture_tokens") <= budget)
