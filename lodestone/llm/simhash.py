@@ -242,7 +242,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     best = named.groupBy("root").agg(F.min("least").alias("duplicate_of"), F.sum("n").alias("size")).filter("size > 1")
     groups = named.join(best, "root").select("fp", "duplicate_of")
-    rows = marked.join(groups, "fp").withColumn("_nth", F.row_number().over(Window.partitionBy("fp", "doc_id").orderBy("doc_id")))
+    rows = marked.join(groups, "fp").repartition("fp", "doc_id").withColumn("_nth", F.row_number().over(Window.partitionBy("fp", "doc_id").orderBy("doc_id")))
     # equal doc_ids with different texts may share a group: the row that stays has the least fingerprint
     first = rows.filter(F.col("doc_id").eqNullSafe(F.col("duplicate_of"))).groupBy("duplicate_of").agg(F.min("fp").alias("_fp"))
     rows = rows.join(first.withColumnRenamed("duplicate_of", "_of"), F.col("duplicate_of").eqNullSafe(F.col("_of")), "left")
@@ -269,7 +269,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     whole = pack(docs)
     marked_rows = whole.mapInArrow(batches(f), T.StructType([*whole.schema.fields, T.StructField("_fp", T.BinaryType())]))
-    kept = marked_rows.join(losers, "_fp", "left_anti")
+    # first, as each task then passes on one row a fingerprint only, however many copies it has
     nth = F.row_number().over(Window.partitionBy("_fp").orderBy(F.col("_row.doc_id").asc_nulls_last()))
-    return kept.withColumn("_nth", nth).filter("_nth = 1").select("_row.*")
+    single = marked_rows.withColumn("_nth", nth).filter("_nth = 1")
+    return single.join(losers, "_fp", "left_anti").select("_row.*")
 
