@@ -23,9 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import cut
+
 MAGIC = 0x184D2A5D
 FILE_BYTES = 16 << 20
 """Uncompressed payload that a file holds, about; all of it is in a task's memory."""
+COPIES, BROADCAST = 1000, 1_000_000
 FILES = 64
 """That a task makes in turn, at most; each task has as many as the others, but for one."""
 DICTIONARY_BYTES = 110 << 10
@@ -130,7 +133,7 @@ def frames(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     """
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html") + F.lit(400)), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // file_bytes))
-    rows = pages.select(F.pmod(F.xxhash64("url", "page_id", "html"), F.lit(n)).cast("int").alias("file"), F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
+    rows = _spread(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")).select(F.pmod("_h", F.lit(n)).cast("int").alias("file"), "page_id", "url", "html")
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, ids, raw = None, [], []
@@ -149,6 +152,19 @@ def frames(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     return rows.repartitionById(parts, F.col("file") % parts).sortWithinPartitions("file", "url", "page_id", "html").mapInArrow(f, SCHEMA)
 
 
+def _spread(pages: DataFrame) -> DataFrame:
+    """Adds ``_h``, a hash of the page; more than ``COPIES`` equal pages are parted by their place in the input, which of them goes where being all the same."""
+    h = F.xxhash64("url", "page_id", "html")
+    many = cut(pages.groupBy(h.alias("_of")).agg(F.count("*").alias("_n")).filter(F.col("_n") > COPIES))
+    n = many.count()
+    rows = pages.withColumn("_h", h)
+    if not n:
+        return rows
+    rows = rows.withColumn("_at", F.monotonically_increasing_id()).join(F.broadcast(many) if n <= BROADCAST else many, F.col("_h") == F.col("_of"), "left")
+    salt = F.pmod("_at", F.ceil(F.col("_n") / COPIES))
+    return rows.withColumn("_h", F.when(F.col("_n").isNull(), F.col("_h")).otherwise(F.xxhash64("_h", salt)))
+
+
 def _file(no: int, ids: list[int | None], raw: list[bytes]) -> pa.RecordBatch:
     made = encode(raw)
     size = np.array([len(x) for x in made])
