@@ -277,3 +277,18 @@ def test_token_counts_against_another_encoder():
     for _ in range(400):
         text = " ".join("".join(r.choice(letters, r.integers(1, 9))) for _ in range(r.integers(1, 12)))
         assert c.count(text) == len(other.encode("▁" + text.replace(" ", "▁")).ids)
+
+
+def test_many_equal_rows_are_spread(spark):
+    """A third of a table in one row's copies: no range or file holds them all, and none is lost."""
+    from lodestone.llm import sharding
+
+    docs = spark.createDataFrame([(None, "a", "x y")] * 3000 + [(i, "b", "x y") for i in range(3000)], "doc_id bigint, source string, text string")
+    got = sharding.shards(docs, 10).collect()
+    sizes = [sum(r["shard"] == k and r["source"] == s for r in got) for k in range(10) for s in "ab"]
+    assert len(got) == 6000 and set(sizes) == {300} and sorted(r["position"] for r in got) == list(range(6000))
+    assert mixing.mixture(docs, share=0.5).count() == mixing.mixed(docs, share=0.5).count() == 3000
+    pages = spark.createDataFrame([(1, "u", "<p>same</p>" * 20)] * 6000 + [(i, "v", "<p>x</p>") for i in range(100)], "page_id bigint, url string, html string")
+    made = warc.frames(pages, 200_000)
+    rows = [r["file"] for r in made.filter("record > 0").select("file").collect()]
+    assert len(rows) == 6100 and max(Counter(rows).values()) < 4000
