@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestone.engine import config as C
 from lodestone.engine import models
-from lodestone.engine.plugins import Embedder, Hooks, Registry, Reranker
-from lodestone.operators import answer, authority, graph, language, memory, retrieval, state, structure, units, wiki
+from lodestone.engine.plugins import Chunker, Detector, Embedder, Evaluator, GraphModel, Hooks, Memory, Registry, Reranker, Vision
+from lodestone.operators import answer, authority, graph, language, memory, retrieval, state, structure, units, vision, wiki
 from lodestone.sources import extract, web
 from lodestone.sources.shared import cut
 from lodestone.sources.store import Store, append_audit
@@ -29,11 +29,11 @@ HEAD = 2000
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, config: Mapping | None = None, registry: Registry | None = None, hooks: Hooks | None = None, generate: answer.Generator = answer.extractive, decide: answer.Decider = answer.lacking, reformulate: models.Reformulator | None = None, context: Callable[[str], str] | None = None):
+    def __init__(self, spark: SparkSession, root: str, config: Mapping | None = None, registry: Registry | None = None, hooks: Hooks | None = None, generate: answer.Generator = answer.extractive, decide: answer.Decider = answer.lacking, reformulate: models.Reformulator | None = None, context: Callable[[str], str] | None = None, sink: Callable[[DataFrame], None] | None = None):
         self.spark, self.root = spark, root
         self.config = dict(config) if config is not None else C.load(env={})
         self.registry, self.hooks = registry or Registry(), hooks or Hooks()
-        self.generate, self.decide, self.reformulate, self.context = generate, decide, reformulate, context
+        self.generate, self.decide, self.reformulate, self.context, self.sink = generate, decide, reformulate, context, sink
         self.signals = C.signals(self.config["signals"])
         self.store = Store(spark, root, TABLES)
         self.turns = spark.createDataFrame([], "conv_id string, idx bigint, question string, answer string")
@@ -75,6 +75,8 @@ class Engine:
         good = fresh.join(failed, "document_id", "left_anti")
         blocks = blocks.filter("error IS NULL")
         made = self._units(blocks, good)
+        if self.registry.get(Vision) is not None:
+            made = cut(made.unionByName(self._figures(good)))
         stamped = self._languages(blocks)
         history = good.join(known.select("document_id", F.col("checksum").alias("_was"), F.col("retired").alias("_old")), "document_id", "left")
         retired = F.array_except(F.array_union(F.coalesce("_old", F.array().cast("array<string>")), F.when(F.col("_was").isNull(), F.array().cast("array<string>")).otherwise(F.array("_was"))), F.array("checksum"))
@@ -95,7 +97,8 @@ class Engine:
     def _units(self, blocks: DataFrame, good: DataFrame) -> DataFrame:
         size = self.config["chunk"]
         texts = blocks.filter("kind <> 'image'").select("document_id", "block", "kind", "text")
-        cutup = units.chunked(texts.select("document_id", "block", "text"), size["max_words"], size["overlap"]).join(texts.select("document_id", "block", "kind"), ["document_id", "block"])
+        chunker = self.registry.get(Chunker)
+        cutup = units.chunked(texts.select("document_id", "block", "text"), size["max_words"], size["overlap"], chunker.chunk if chunker is not None else None).join(texts.select("document_id", "block", "kind"), ["document_id", "block"])
         cutup = cutup.withColumns({"block_ref": F.concat_ws("::", "document_id", F.col("block").cast("string")), "text": F.col("passage"), "checksum": state.checksum(F.col("passage"))})
         if self.context is not None:  # only rankings read ``text``; passages stay verbatim
             whole = blocks.groupBy("document_id").agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda s: s["text"]), "\n"), F.lit(8000)).alias("_doc"))
@@ -104,13 +107,28 @@ class Engine:
             cutup = cutup.join(whole, "document_id", "left").withColumn("text", said("passage", "_doc"))
         return cut(cutup.select("document_id", "eu_id", "block_ref", "block", "chunk", "kind", "text", "passage", "checksum"))
 
+    def _figures(self, good: DataFrame) -> DataFrame:
+        """Units made of a model's answers to picture files; one that fails gives none."""
+        none = lambda kind: F.lit(None).cast(kind)
+        pictures = good.filter("source_type = 'image'").select("document_id", F.lit("0").alias("image_id"), "content", none("int").alias("width"), none("int").alias("height"), none("double").alias("page_area"), none("int").alias("page"), F.col("document_id").alias("source_uri"))
+        asked = cut(vision.requests(pictures, models.DESCRIBE))
+        said = cut(vision.fulfil(asked, self.registry.get(Vision).describe))
+        made = vision.units(asked, said.filter("error IS NULL"))
+        return made.select("document_id", "eu_id", F.col("eu_id").alias("block_ref"), F.lit(0).alias("block"), F.lit(0).alias("chunk"), F.lit("figure").alias("kind"), "text", F.col("text").alias("passage"), state.checksum(F.col("text")).alias("checksum"))
+
     def _languages(self, blocks: DataFrame) -> DataFrame:
         """By the first ``HEAD`` characters of a document's blocks; one that isn't told reliably has none."""
         parts = F.transform(F.array_sort(F.collect_list(F.struct("block", F.left("text", F.lit(HEAD)).alias("t")))), lambda s: s["t"])
         head = blocks.filter(F.col("block") < HEAD).groupBy("document_id").agg(F.left(F.array_join(parts, "\n"), F.lit(HEAD)).alias("head"))
-        told = head.select("document_id", language.detected("head").alias("d"))
+        told = head.select("document_id", (self._detector() or language.detected)("head").alias("d"))
         return told.select("document_id", F.when(F.col("d.reliable"), F.col("d.language")).alias("language"))
 
+    def _detector(self):
+        plugin = self.registry.get(Detector)
+        if plugin is None:
+            return None
+        return F.udf(lambda t: plugin.detect(t or ""), "language string, confidence double, reliable boolean")
+
     def _embed(self, rows: DataFrame) -> DataFrame:
         plugin = self.registry.get(Embedder)
         return models.embed(rows, plugin.embed, plugin.dim) if plugin is not None else retrieval.embedded(rows)
@@ -157,7 +175,10 @@ class Engine:
     def refresh(self) -> None:
         """The graph and all wiki pages anew, of the units as they are."""
         u = self.store.read("units")
-        e = graph.edges(u.select(F.col("eu_id").alias("unit"), "text")).withColumn("document_id", F.col("source"))
+        rows = u.select(F.col("eu_id").alias("unit"), "text")
+        plugin = self.registry.get(GraphModel)
+        e = graph.edges(rows) if plugin is None else graph.distil(rows, plugin.distil)[1].select("source", "target", "weight")
+        e = e.withColumn("document_id", F.col("source"))
         new = {"edges": e} | ({"pages": self._pages(u)} if "wiki" in self.signals else {})
         self.store.commit(new, notes={"graph": True}, whole=("edges", "pages"))
 
@@ -263,6 +284,8 @@ class Engine:
         if conversations is not None:
             said = result.filter("decision = 'answered'").join(conversations, "question_id").join(questions.select("question_id", "question"), "question_id")
             self.remember(said.select("conv_id", "question", "answer"))
+        if self.sink is not None:
+            self.sink(result.select(F.lit("generate").alias("stage"), F.col("doc_id").alias("document"), F.when(F.col("decision") == "answered", "ok").otherwise("refused").alias("outcome"), F.current_timestamp().alias("ts")))
         self.hooks.fire("answer", result)
         return result
 
@@ -284,7 +307,8 @@ class Engine:
         self.turns = cut(memory.ring(self.turns.unionByName(numbered.select("conv_id", F.col("idx").cast("bigint"), "question", "answer"))))
 
     def recall(self, queries: DataFrame, limit: int = memory.RECALL) -> DataFrame:
-        return memory.recall(queries, self.turns, limit).join(self.turns, ["conv_id", "idx"])
+        plugin = self.registry.get(Memory)
+        return plugin.recall(queries) if plugin is not None else memory.recall(queries, self.turns, limit).join(self.turns, ["conv_id", "idx"])
 
     def evaluate(self, golden: str | DataFrame) -> DataFrame:
         """Of a CSV file with a column ``question`` or ``query`` and, if wanted, ``expected``, or of (question_id, question, expected)."""
@@ -295,7 +319,9 @@ class Engine:
                 raise ValueError("the file has no column question or query")
             expected = F.col("expected") if "expected" in rows.columns else F.lit("")
             golden = cut(rows.select(F.monotonically_increasing_id().alias("question_id"), F.col(name).alias("question"), F.coalesce(expected, F.lit("")).alias("expected")))
-        return answer.evaluate(self.ask(golden.select("question_id", "question")), golden)
+        results = self.ask(golden.select("question_id", "question"))
+        plugin = self.registry.get(Evaluator)
+        return plugin.evaluate(results, golden) if plugin is not None else answer.evaluate(results, golden)
 
     # forgetting
 

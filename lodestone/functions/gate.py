@@ -49,6 +49,26 @@ def align(claim: list[str], passage: list[str], single: int = SINGLE_GAP, total:
     return start, end, skipped, widest
 
 
+def align_closest(claim: list[str], passage: list[str], single: int = SINGLE_GAP, total: int = TOTAL_GAP) -> tuple[int, int, int, int] | None:
+    """As ``align``, but of all paths that keep the budget the one that skips least, so no match is missed. Not what ``supported`` goes by."""
+    if not claim or not passage:
+        return None
+    paths = {j: (0, 0, j) for j, t in enumerate(passage) if t == claim[0]}
+    for token in claim[1:]:
+        grown: dict[int, tuple[int, int, int]] = {}
+        for e, (skipped, widest, start) in paths.items():
+            for j in range(e + 1, min(e + single + 2, len(passage))):
+                gap = j - e - 1
+                if passage[j] == token and skipped + gap <= total and (skipped + gap, max(widest, gap), -start) < grown.get(j, (total + 1, 0, 0)):
+                    grown[j] = (skipped + gap, max(widest, gap), -start)
+        paths = {j: (s, w, -b) for j, (s, w, b) in grown.items()}
+    if not paths:
+        return None
+    end = min(paths, key=lambda j: (paths[j][0], j))
+    skipped, widest, start = paths[end]
+    return start, end, skipped, widest
+
+
 def supported(claim: str, passage: str) -> bool:
     """Ordered containment within the gap budget, with no marker of negation lost from the matched span."""
     return supported_by(claim, tokenize(passage))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,12 @@ def from_blocks(blocks: DataFrame) -> DataFrame:
     return some.select(F.concat_ws("::", "document_id", F.col("block").cast("string")).alias("eu_id"), "document_id", "block", F.col("text").alias("passage"), checksum(F.col("text")).alias("checksum"))
 
 
-def chunked(blocks: DataFrame, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
-    """Units of at most about ``most`` words; only longer blocks are handed to Python."""
+def chunked(blocks: DataFrame, most: int = MOST, overlap: int = OVERLAP, chunk: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """Units of at most about ``most`` words; only longer blocks are handed to Python, to ``chunk`` if it is given."""
     trimmed = F.btrim("text", F.lit(" \t\r\n\f\v"))
     n = F.size(F.split(trimmed, r"\s+"))
-    cut = X.chunks(most, overlap)(F.when(n > most, F.col("text")))
+    own = X.chunks(most, overlap) if chunk is None else F.udf(lambda t: chunk(t) if t is not None else [], "array<string>")
+    cut = own(F.when(n > most, F.col("text")))
     pieces = F.when(trimmed == "", F.array().cast("array<string>")).when(n <= most, F.array(trimmed)).otherwise(cut)
     rows = blocks.select("document_id", "block", F.posexplode(pieces).alias("chunk", "passage"))
     return rows.select(F.concat_ws("::", "document_id", F.col("block").cast("string"), F.col("chunk").cast("string")).alias("eu_id"), "document_id", "block", "chunk", "passage")

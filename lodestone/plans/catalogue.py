@@ -15,7 +15,7 @@ from lodestone.functions import text as X
 from lodestone.operators import answer, authority, conflict, graph, grounding, jobs, language, memory, retrieval, state, structure, telemetry, units, wiki
 from lodestone.plans import sql as S
 from lodestone.sources import extract, web
-from lodestone.sources.shared import cut
+from lodestone.sources.shared import cut, spread
 from lodestone.streaming import telemetry as stream_telemetry
 
 K = 10
@@ -34,7 +34,8 @@ def query(oracle: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def last_sentence(text: Column) -> Column:
@@ -95,9 +96,14 @@ def chunk_units(spark, d):
     return units.chunked(_blocks(spark, d)).select("eu_id", "document_id", "chunk", F.sha2("passage", 256).alias("checksum"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS document_id, 'o_orderkey: ' || o_orderkey || ', o_orderstatus: ' || o_orderstatus || ', o_orderpriority: ' || o_orderpriority AS text FROM orders")
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS document_id, 'o_orderkey: ' || o_orderkey || ', o_custkey: ' || o_custkey || ', o_orderstatus: ' || o_orderstatus || ', o_totalprice: ' || CAST(o_totalprice AS DECIMAL(18, 2))
+  || ', o_orderdate: ' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ', o_orderpriority: ' || o_orderpriority AS text FROM orders""")
 def table_rows(spark, d):
-    rows = units.rendered(table(spark, d, "orders"), "o_orderkey", ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+    """All columns; prices with two places, times to the second."""
+    orders = table(spark, d, "orders")
+    said = orders.withColumns({"o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")})
+    rows = units.rendered(said, "o_orderkey", orders.columns)
     return rows.select(F.col("document_id").cast("string").alias("document_id"), "text")
 
 
@@ -188,7 +194,14 @@ def cite_check_coverage(spark, d):
     return grounding.coverage_pairs(_claims(spark, d), table(spark, d, "documents"), 0.8)
 
 
-@query()
+@query(f"""
+WITH l AS (SELECT item_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM (SELECT item_id, string_split(text, chr(10)) AS x FROM benchmark)),
+w AS (SELECT item_id, n, unnest(x) AS word, generate_subscripts(x, 1) AS i FROM (SELECT item_id, n, string_split(line, ' ') AS x FROM l)),
+b AS (SELECT *, regexp_replace(word, '[.!?]+$', '') AS bare FROM w),
+e AS (SELECT *, bare <> word AND lower(bare) NOT IN {S.listed(X.T.ABBREVIATIONS)} AND NOT regexp_full_match(bare, '\\p{{L}}') AS ends FROM b),
+g AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY item_id, n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
+c AS (SELECT item_id, n, part, trim(string_agg(word, ' ' ORDER BY i)) AS claim FROM g GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY n, part) - 1 AS INTEGER) AS position, claim FROM c WHERE claim <> ''""")
 def claims(spark, d):
     return grounding.claim_rows(table(spark, d, "benchmark"))
 
@@ -245,7 +258,27 @@ def conflict_pairs(spark, d):
     return conflict.conflicts(rows)
 
 
-@query()
+def _opposites() -> str:
+    """Pairs of words as a list of lists, in either order."""
+    fold = conflict._folded
+    return "[" + ", ".join(f"['{p}', '{q}']" for p, q in sorted({(fold(x), fold(y)) for p, q in conflict.T.ANTONYMS for x, y in ((p, q), (q, p))})) + "]"
+
+
+@query(f"""
+WITH k AS (SELECT doc_id, text, t, len(t) AS n, array_to_string(t, ' ') AS same FROM (SELECT doc_id, text, {S.tokens("text")} AS t FROM documents)),
+least AS (SELECT same, min(doc_id) AS keep FROM k GROUP BY same),
+reps AS (SELECT doc_id, text, t, k.same, n, list_distinct(t) AS s FROM k JOIN least ON doc_id = keep WHERE n > 0),
+q AS (SELECT a.doc_id AS x, b.doc_id AS y FROM reps a JOIN reps b ON a.doc_id > b.doc_id AND abs(a.n - b.n) <= {conflict.LENGTH_DELTA}
+  WHERE least(len(a.s), len(b.s)) >= {conflict.JACCARD} * greatest(len(a.s), len(b.s)) AND len(list_intersect(a.s, b.s)) >= {conflict.JACCARD} * len(list_distinct(a.s || b.s))),
+d AS (SELECT doc_id, {S.meaning("t")} AS c, len(list_filter(t, lambda w: w IN {S.listed(conflict.T.NEGATIONS)})) % 2 AS parity, {S.numbers("text")} AS numbers,
+  regexp_matches(' ' || same || ' ', ' ({"|".join(sorted(conflict.T.REPORTING))}) that ') AS reported FROM reps WHERE doc_id IN (SELECT x FROM q UNION SELECT y FROM q)),
+p AS (SELECT x AS doc_id, y AS duplicate_of, a.c AS ca, b.c AS cb, list_filter(a.c, lambda w: NOT list_contains(b.c, w)) AS oa, list_filter(b.c, lambda w: NOT list_contains(a.c, w)) AS ob, a.reported OR b.reported AS reported
+  FROM q JOIN d a ON a.doc_id = x JOIN d b ON b.doc_id = y WHERE a.parity = b.parity AND a.numbers = b.numbers),
+f AS (SELECT *, least(len(ca), len(cb)) AS fewer, len(list_intersect(ca, cb)) AS shared, len(oa) + len(ob) AS apart FROM p)
+SELECT doc_id, keep AS duplicate_of, 'exact' AS reason FROM k JOIN least USING (same) WHERE doc_id <> keep
+UNION ALL SELECT doc_id, duplicate_of, 'near' FROM f WHERE NOT (fewer >= {conflict.LEAST_CONTENT} AND shared >= {conflict.OVERLAP} * fewer AND apart <= {conflict.DIVERGENCE} AND NOT reported
+  AND NOT list_has_any(oa || ob, {S.strings({conflict._folded(w) for w in conflict.T.SCOPE})}) AND apart - 2 <= {conflict.RESIDUAL}
+  AND len(list_filter({_opposites()}, lambda x: list_contains(oa, x[1]) AND list_contains(ob, x[2]))) > 0)""")
 def near_duplicates(spark, d):
     return conflict.near_duplicates(table(spark, d, "documents"))
 

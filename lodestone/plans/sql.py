@@ -24,6 +24,26 @@ def content(toks: str) -> str:
     return f"list_filter(list_distinct({toks}), lambda w: w NOT IN {STOP})"
 
 
+def strings(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+
+
+def fold(w: str) -> str:
+    return f"CASE WHEN length({w}) >= 4 AND right({w}, 1) = 's' AND substring({w}, length({w}) - 1, 1) NOT IN ('s', 'i', 'u') THEN left({w}, length({w}) - 1) ELSE {w} END"
+
+
+def meaning(toks: str) -> str:
+    """The folded content tokens that contradictions are judged by."""
+    kept = f"list_filter({content(toks)}, lambda w: w NOT IN {listed(T.NEGATIONS)} AND NOT regexp_full_match(w, '[0-9]+[a-z]*') AND NOT (regexp_matches(w, '[0-9]') AND regexp_matches(w, '[^a-z0-9]')))"
+    return f"list_distinct(list_transform({kept}, lambda w: {fold('w')}))"
+
+
+def numbers(x: str) -> str:
+    raw = f"list_transform(regexp_extract_all(lower({x}), '(?:^|[^\\p{{L}}_0-9.,])([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), lambda w: replace(w, ',', ''))"
+    cut = "CASE WHEN contains(w, '.') THEN rtrim(rtrim(w, '0'), '.') ELSE w END"
+    return f"list_sort(list_distinct(list_transform({raw}, lambda w: CASE WHEN {cut} = '' THEN '0' ELSE {cut} END)))"
+
+
 FIRST = "regexp_extract(text, '^[^.!?]+')"
 LAST = "coalesce(list_filter(regexp_extract_all(text, '[^.!?]+'), lambda s: trim(s) <> '')[-1], '')"
 

@@ -9,7 +9,7 @@ from lodestone.functions import gate as G
 from lodestone.functions import text as X
 from lodestone.operators import authority, conflict, graph, jobs, language, memory, retrieval, state, structure, telemetry, units, vision, wiki
 from lodestone.plans import sql as S
-from lodestone.plans.catalogue import _CONTRARY, _EXCHANGES, _PAGES, _TERMS, K, _candidates, _links, _log, _manifest, _tiers, _was, _wiki_units, conflict_pairs, last_sentence, query, questions, table
+from lodestone.plans.catalogue import _CONTRARY, _EXCHANGES, _PAGES, _TERMS, K, _candidates, _hits, _links, _log, _manifest, _tiers, _was, _wiki_units, conflict_pairs, last_sentence, query, questions, table
 from lodestone.plans.catalogue import _COST
 from lodestone.sources import extract
 
@@ -393,6 +393,15 @@ def answer_language(spark, d):
     return docs.select("doc_id", language.requested(explicit, found, F.when(F.col("doc_id") % 3 == 0, "nl")).alias("language"))
 
 
+@query(f"""
+WITH w AS (SELECT doc_id, regexp_matches(text, '[\\p{{L}}]') AS letters, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: regexp_full_match(x, '\\p{{L}}+'))) AS w FROM documents),
+h AS (SELECT doc_id, letters, {", ".join(f"{_hits(k)} AS {k}" for k in language.T.LATIN_CUES)} FROM w)
+SELECT doc_id, CASE WHEN greatest(es, fr, de) = 0 THEN 'en' WHEN es >= fr AND es >= de THEN 'es' WHEN fr >= de THEN 'fr' ELSE 'de' END AS language, CASE WHEN letters THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence, letters AS reliable FROM h""")
+def language_majority(spark, d):
+    """By the script of most letters; here it is the Latin one throughout."""
+    return table(spark, d, "documents").select("doc_id", language.detected("text").alias("d")).select("doc_id", "d.*")
+
+
 @query("SELECT o_orderkey, greatest(a, b, c) >= 0.4 AND a + b + c - greatest(a, b, c) - least(a, b, c) >= 0.4 AS mixed FROM (SELECT o_orderkey, o_custkey % 10 / 10.0::DOUBLE AS a, o_orderkey % 10 / 10.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM orders)")
 def code_mixing(spark, d):
     shares = F.array((F.col("o_custkey") % 10) / 10.0, (F.col("o_orderkey") % 10) / 10.0, F.lit(0.0))

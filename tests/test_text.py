@@ -159,3 +159,45 @@ def test_ingest_stream(spark, tmp_path):
     ingest.take(rows([(1, "a"), (2, "c")]), 1, folder)
     ingest.take(rows([(1, "a"), (2, "c")]), 1, folder)  # again
     assert {(r["document_id"], r["passage"]) for r in ingest.current_units(spark, folder).collect()} == {("1", "a"), ("2", "c")}
+
+
+def test_ingest_takes_the_later_version_and_compacts(spark, tmp_path, monkeypatch):
+    from lodestone.streaming import ingest
+
+    monkeypatch.setattr(ingest, "SNAPSHOT", 2)
+    folder = str(tmp_path / "store")
+    for n in range(5):
+        rows = spark.createDataFrame([(1, f"text {n}", 2), (1, "z older", 1), (n, "own", 1)], "doc_id bigint, text string, seq int")
+        ingest.take(rows, n, folder)
+    got = {r["document_id"]: r["passage"] for r in ingest.current_units(spark, folder).collect()}
+    assert got == {"0": "own", "1": "text 4", "2": "own", "3": "own", "4": "own"}
+    assert sorted(p.name for p in (tmp_path / "store/snapshot").iterdir()) == ["part=1", "part=3"]
+    assert ingest.manifest_before(spark, folder, 1).count() == 2
+
+
+def test_stream_of_documents(spark, tmp_path):
+    from lodestone.streaming import ingest
+
+    src, folder = str(tmp_path / "in"), str(tmp_path / "store")
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string").write.parquet(src)
+    for _ in range(2):
+        ingest.start(spark.readStream.schema("doc_id bigint, text string").parquet(src), folder).awaitTermination()
+    assert {r["passage"] for r in ingest.current_units(spark, folder).collect()} == {"a", "b"}
+
+
+def test_closest_alignment_against_all_paths():
+    from itertools import combinations
+
+    r = random.Random(6)
+    for _ in range(1500):
+        c, p = r.choices("abc", k=r.randint(1, 4)), r.choices("abcd", k=r.randint(1, 12))
+        best = None
+        for at in combinations(range(len(p)), len(c)):
+            gaps = [b - a - 1 for a, b in zip(at, at[1:])]
+            if [p[i] for i in at] == c and all(g <= 4 for g in gaps) and sum(gaps) <= 8:
+                best = min(best or (99, 99), (sum(gaps), at[-1]))
+        got = G.align_closest(c, p)
+        assert (None if got is None else (got[2], got[1])) == best
+        if G.align(c, p) is not None:
+            assert got is not None
+    assert G.align_closest(list("ab"), "a x x x x x a b".split()) == (6, 7, 0, 0)
