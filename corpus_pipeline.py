@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import importance, language, mixing, packing, simhash
 from lodestone.llm.common import checkpoint_dir, remove
+from lodestone.sources.shared import spread
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. A stage's folder is removed once the next one's is written; the last one's stays, as the rows are read from it."""
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     before = None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
