@@ -123,14 +123,16 @@ def tokens_latin(text: Column) -> Column:
     return F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
 
 
-_BEYOND = "[^\\x00-\\x7f\\u00c0-\\u012f\\u0131\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e\\u00a1\\u00a7\\u00ab\\u00bb\\u00bf\\u2013\\u2014\\u2018-\\u201f\\u2026]"
-"""Characters outside those that NFKC leaves alone and whose case folding is their lower case, but for ß."""
+_BEYOND = "[\\u0080-\\u00bf\\u0130-\\u0140\\u0149\\u017f-\\u2012\\u2020-\\u2025\\u2027-\\x{10ffff}]"
+"""All but ASCII, Latin letters that NFKC leaves alone and whose case folding is their lower case (but for ß), dashes, quotes and the ellipsis."""
 
 
 def tokens_any(text: Column) -> Column:
-    """The Unicode tokenizer. Other texts than plainly Latin ones go through Arrow; of the rest it is handed nulls."""
-    beyond = F.coalesce(text.rlike(_BEYOND), F.lit(False))
-    return F.when(beyond, tokens_unicode(F.when(beyond, text))).otherwise(tokens_latin(text))
+    """The Unicode tokenizer. Other texts than plainly Latin ones go through Arrow; of the rest it is handed nulls. Texts of ASCII alone have a pattern of their own."""
+    wide = F.octet_length(text) != F.char_length(text)
+    beyond = F.coalesce(wide & text.rlike(_BEYOND), F.lit(False))
+    latin = F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("[a-z0-9\\u00e0-\\u00f6\\u00f8-\\u017e]+"), F.lit(0))
+    return F.when(beyond, tokens_unicode(F.when(beyond, text))).when(wide, latin).otherwise(tokens(text))
 
 
 def words(items: Iterable[str]) -> Column:
