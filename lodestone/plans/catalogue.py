@@ -123,7 +123,8 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 _NEAR = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 q AS (SELECT vec_id AS question_id, v AS q FROM e WHERE vec_id % 100 = 0),
-s AS (SELECT question_id, vec_id, round({distance}, 6) AS distance FROM e, q),
+d AS (SELECT question_id, vec_id, round({distance}, 6) AS distance FROM e, q),
+s AS (SELECT question_id, vec_id, CASE WHEN distance = 0 THEN 0.0::DOUBLE ELSE distance END AS distance FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, vec_id) AS rank FROM s)
 SELECT question_id, vec_id, distance, round(1 / (1 + distance), 6) AS score, rank FROM r WHERE rank <= {k}"""
 

@@ -68,7 +68,7 @@ def hashing_embedder(spark, d):
 _CORPUS_ASK = f"""
 WITH q AS (SELECT * FROM {_embedding("(SELECT question_id AS id, question AS text FROM " + S.questions() + ")")}), v AS (SELECT * FROM {_embedding("(SELECT doc_id AS id, text FROM documents)")}),
 s AS (SELECT q.id AS question_id, v.id AS doc_id, round(1 - sum(q.w * v.w), 6) AS distance FROM q JOIN v USING (bucket) GROUP BY ALL),
-every AS (SELECT question_id, doc_id, coalesce(distance, 1.0) AS distance FROM (SELECT DISTINCT id AS question_id FROM q) CROSS JOIN (SELECT DISTINCT id AS doc_id FROM v) LEFT JOIN s USING (question_id, doc_id)),
+every AS (SELECT question_id, doc_id, CASE WHEN distance = 0 THEN 0.0::DOUBLE ELSE coalesce(distance, 1.0::DOUBLE) END AS distance FROM (SELECT DISTINCT id AS question_id FROM q) CROSS JOIN (SELECT DISTINCT id AS doc_id FROM v) LEFT JOIN s USING (question_id, doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, doc_id) AS rank FROM every)
 SELECT question_id, doc_id, distance, rank FROM r WHERE rank <= {K}"""
 
