@@ -43,8 +43,8 @@ class Engine:
         """Models are optional: an endpoint under ``models.generator`` writes the answers, one under ``models.reformulation`` rewrites queries; without them the engine works alone."""
         cfg = C.check(C.load(source, overrides, env), allowed)
         made = cfg.get("models", {})
-        wires = {"openai": models.ChatModel, "anthropic": models.MessagesModel}
-        build = lambda m: wires[m.get("wire", "openai")](m["base"], m["model"], m.get("headers", {}), m.get("temperature", 0.0), m.get("max_tokens"))
+        wires = {"chat": models.ChatModel, "messages": models.MessagesModel}
+        build = lambda m: wires[m.get("wire", "chat")](m["base"], m["model"], m.get("headers", {}), m.get("temperature", 0.0), m.get("max_tokens"))
         if "generator" in made and "generate" not in more:
             more["generate"] = build(made["generator"]).answer
         if "reformulation" in made and "reformulate" not in more:

@@ -82,7 +82,7 @@ class Endpoint:
 
 
 class ChatModel(Endpoint):
-    """The wire of chat completions, OpenAI's."""
+    """The wire of chat completions."""
 
     def request(self, content: object, system: str | None = None) -> dict:
         messages = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": content}]
@@ -106,7 +106,7 @@ class ChatModel(Endpoint):
 
 
 class MessagesModel(Endpoint):
-    """The wire of messages, Anthropic's: the system's text apart, a bound on the tokens always."""
+    """The wire of messages: the system's text apart, a bound on the tokens always."""
 
     def request(self, content: str, system: str | None = None) -> dict:
         return {"model": self.model, "messages": [{"role": "user", "content": content}], "max_tokens": self.max_tokens or 1024, "temperature": self.temperature} | ({"system": system} if system else {})

@@ -33,6 +33,12 @@ def edges(units: DataFrame) -> DataFrame:
     return pairs.groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
+def strength(edge: DataFrame) -> DataFrame:
+    """(label, n_neighbors, weight) of each node that has an edge."""
+    ends = edge.select(F.col("source").alias("label"), "weight").unionByName(edge.select(F.col("target").alias("label"), "weight"))
+    return ends.groupBy("label").agg(F.count("*").alias("n_neighbors"), F.sum("weight").alias("weight"))
+
+
 def retrieve(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Candidates by the number of the question's content tokens that are nodes of the unit."""
     q = questions.select("question_id", F.explode(X.content(X.tokens(F.col("question")))).alias("term"))

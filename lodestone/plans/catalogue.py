@@ -307,7 +307,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT * FROM {_EDGES}")
 def comention_edges(spark, d):
-    """Over the benchmark's passages only, as the SQL; ``comention_edges_chunks`` has all documents."""
+    """Over the benchmark's passages only, as the SQL; ``comention_strength_chunks`` has all documents."""
     return graph.edges(_passages(spark, d))
 
 
@@ -339,9 +339,9 @@ def graph_neighbors(spark, d):
 
 
 @query()
-def comention_edges_chunks(spark, d):
-    """The graph over the chunks of all documents."""
-    return graph.edges(_chunks(spark, d))
+def comention_strength_chunks(spark, d):
+    """Of the graph over the chunks of all documents, each term's neighbours and the weight of its edges: all edges are made, too many of them to be rows of a report."""
+    return graph.strength(graph.edges(_chunks(spark, d)))
 
 
 @query()
@@ -360,7 +360,7 @@ def _outline(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OUTLINE = """
-o AS (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY a, b) AS INTEGER) AS position, level, label FROM (
+o AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY a, b) AS position, level, label FROM (
   SELECT r_regionkey AS document_id, -1 AS a, -1 AS b, 1 AS level, r_name AS label FROM region
   UNION ALL SELECT n_regionkey, n_nationkey, -1, 2, n_name FROM nation
   UNION ALL SELECT n_regionkey, n_nationkey, s_suppkey, 3, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import tables as T
 from lodestone.functions import text as X
 from lodestone.operators import graph, retrieval
+from lodestone.plans import catalogue
 from lodestone.plans.catalogue import QUERIES
 
 
@@ -23,8 +24,14 @@ def test_comention_over_the_chunks_of_all_documents(spark, tmp_path):
         for chunk in X.chunk(t or "", 450, 60):
             terms = sorted({w for w in X.tokenize(chunk) if len(w) >= graph.LETTERS and w not in T.STOPWORDS})
             want.update(combinations(terms, 2))
-    edges = QUERIES["comention_edges_chunks"](spark, str(tmp_path))
+    edges = graph.edges(catalogue._chunks(spark, str(tmp_path)))
     assert {(r["source"], r["target"]): r["weight"] for r in edges.collect()} == want
+    ends = Counter(x for pair in want for x in pair)
+    sums = Counter()
+    for pair, n in want.items():
+        for x in pair:
+            sums[x] += n
+    assert {r["label"]: (r["n_neighbors"], r["weight"]) for r in QUERIES["comention_strength_chunks"](spark, str(tmp_path)).collect()} == {x: (ends[x], sums[x]) for x in ends}
     assert want["beta", "gamma"] == 2 and want["term0", "word0"] > 1
     needles = spark.createDataFrame([("beta",), ("alpha",), ("absent",), ("phab",), ("term",)], "needle string")
     both = lambda df: sorted(tuple(r) for r in df.collect())
