@@ -127,12 +127,24 @@ _BEYOND = "[\\u0080-\\u00bf\\u0130-\\u0140\\u0149\\u017f-\\u2012\\u2020-\\u2025\
 """All but ASCII, Latin letters that NFKC leaves alone and whose case folding is their lower case (but for ß), dashes, quotes and the ellipsis."""
 
 
-def tokens_any(text: Column) -> Column:
-    """The Unicode tokenizer. Other texts than plainly Latin ones go through Arrow; of the rest it is handed nulls. Texts of ASCII alone have a pattern of their own."""
+def _latin(text: Column) -> tuple[Column, Column]:
+    """Whether the JVM can't tell a text's tokens, and what they are where it can."""
     wide = F.octet_length(text) != F.char_length(text)
     beyond = F.coalesce(wide & text.rlike(_BEYOND), F.lit(False))
     latin = F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("[a-z0-9\\u00e0-\\u00f6\\u00f8-\\u017e]+"), F.lit(0))
-    return F.when(beyond, tokens_unicode(F.when(beyond, text))).when(wide, latin).otherwise(tokens(text))
+    return beyond, F.when(wide, latin).otherwise(tokens(text))
+
+
+def tokens_any(text: Column) -> Column:
+    """The Unicode tokenizer. Other texts than plainly Latin ones go through Arrow; of the rest it is handed nulls. Texts of ASCII alone have a pattern of their own."""
+    beyond, plain = _latin(text)
+    return F.when(beyond, tokens_unicode(F.when(beyond, text))).otherwise(plain)
+
+
+def tokens_or_text(text: Column) -> tuple[Column, Column]:
+    """(tokens, rest), for a step that is in Python anyway: the tokens where the JVM can tell them, else the text for ``tokenize``; the other one is null."""
+    beyond, plain = _latin(text)
+    return F.when(~beyond, plain), F.when(beyond, text)
 
 
 def words(items: Iterable[str]) -> Column:

@@ -20,7 +20,7 @@ from lodestone.functions import gate as G
 from lodestone.functions import text as X
 from lodestone.operators import authority, conflict
 from lodestone.operators.retrieval import bm25, bm25_lists, fuse, top
-from lodestone.sources.shared import cut
+from lodestone.sources.shared import cut, few
 
 ATTEMPTS = 5
 REASONS = ("unsupported script", "nothing relevant", "insufficient authority", "not grounded", "unresolved conflict", "nothing readable")
@@ -37,7 +37,7 @@ def extractive(question: str, passage: str) -> str:
 def relevant(candidates: DataFrame, questions: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidates with text and ``relevant``: whether question and text share a content token."""
     q = questions.select("question_id", X.tokens_any(F.col("question")).alias("_q"))
-    rows = candidates.join(docs.select("doc_id", "text"), "doc_id").join(q, "question_id")
+    rows = few(candidates).join(docs.select("doc_id", "text"), "doc_id").join(q, "question_id")
     return rows.withColumn("relevant", G.relevant(F.col("_q"), X.tokens_any(F.col("text")))).drop("_q")
 
 
@@ -232,7 +232,7 @@ def gather(questions: DataFrame, docs: DataFrame, tiers: DataFrame | None = None
         stop = F.when(F.coalesce("size", F.lit(0)) >= most_units, "budget").when((F.coalesce("added", F.lit(0)) == 0) & F.col("_back").isNull(), "no new evidence")
         state = cut(state.select("question_id", "question", stop.alias("stop")))
         going = state.filter("stop IS NULL").select("question_id")
-        texts = pool.join(going, "question_id").join(docs.select("doc_id", "text"), "doc_id")
+        texts = few(pool.join(going, "question_id")).join(docs.select("doc_id", "text"), "doc_id")
         texts = texts.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hop", "rank", F.coalesce("text", F.lit("")).alias("text")))), lambda s: s["text"]).alias("evidence"))
         told = going.join(questions.select("question_id", "question"), "question_id").join(texts, "question_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
         said = cut(told.mapInPandas(_decide(decide, seconds), f"question_id {qkind}, stop string, question string"))
@@ -272,7 +272,7 @@ def ask_deep(questions: DataFrame, docs: DataFrame, tiers: DataFrame | None = No
     """
     pool, ended = gather(questions, docs, tiers, floor, mode, decide, **budget)
     by = [F.col("hop"), F.col("rank")] if mode == "exploratory" else [F.desc("tier_rank"), F.col("hop"), F.col("rank")]
-    units = pool.join(docs.select("doc_id", "text"), "doc_id").withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(*by)))
+    units = few(pool).join(docs.select("doc_id", "text"), "doc_id").withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(*by)))
     units = cut(units.select("question_id", "place", "doc_id", "text", "tier_rank"))
     window = units.filter(F.col("place") <= conflict.WINDOW)
     pairs = conflict.compare(window.select(F.col("question_id").alias("group"), (F.col("place") - 1).alias("position"), "text"))

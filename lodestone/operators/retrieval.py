@@ -7,16 +7,18 @@ for all questions and all variants of them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions import text as X
-from lodestone.sources.shared import cut
+from lodestone.sources.shared import cut, few
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -42,28 +44,109 @@ def question_terms(variants: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, len) of the given terms, and for every document a row of the empty term, from one pass over the texts.
+def postings(docs: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """(doc_id, len, places, counts): of each document its tokens, and which of the wanted terms it holds how often, by their places in ``wanted``.
 
-    The rows are cut: lengths, frequencies and scores all come from them.
+    A text's tokens are counted in its own row, so none of them is shuffled and no
+    task gets all documents with a frequent term. The rows are cut: lengths,
+    frequencies and scores all come from them.
     """
-    toks = docs.select("doc_id", F.coalesce(X.tokens_any(F.col("text")), F.array().cast("array<string>")).alias("t"))
-    wanted = terms.select("term").distinct().union(terms.sparkSession.createDataFrame([("",)], "term string"))
-    each = toks.select("doc_id", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
-    return cut(each.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    n = max(1, len(wanted))
+    values = pa.array(wanted, pa.string())
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids, toks, rest = b.columns
+            if rest.null_count < len(rest):
+                toks = pa.array([t if r is None else X.tokenize(r) for t, r in zip(toks.to_pylist(), rest.to_pylist(), strict=True)], pa.list_(pa.string()))
+            size = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.fill_null(pc.index_in(toks.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            key = np.repeat(np.arange(len(size)), size) * n + at
+            key, counts = np.unique(key[at >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(key, np.arange(len(size) + 1) * n), pa.int32())
+            lists = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (key % n, counts))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size), *lists], ["doc_id", "len", "places", "counts"])
+
+    toks, rest = X.tokens_or_text(F.col("text"))
+    each = docs.select("doc_id", toks.alias("t"), rest.alias("rest")).mapInArrow(f, f"doc_id {kind}, len bigint, places array<int>, counts array<int>")
+    return cut(each.groupBy("doc_id").agg(F.first("len").alias("len"), F.flatten(F.collect_list("places")).alias("places"), F.flatten(F.collect_list("counts")).alias("counts")))
+
+
+def _scored(asked: Sequence[tuple[int, object, np.ndarray]], idf: np.ndarray, avg: float, k: int | None, qkind: pa.DataType):
+    """Rows (list, question_id, doc_id, score) of ``postings``: of all those of a task the k best of each question, by score and then doc_id."""
+    same: dict[tuple[int, ...], list[int]] = {}
+    for i, (_, _, places) in enumerate(asked):
+        same.setdefault(tuple(places), []).append(i)
+    groups = [(np.array(places), who) for places, who in same.items() if places]
+    step = max(1, min(4096, (1 << 22) // max(1, len(idf))))
+    order = lambda x: (-x[0], x[1] is not None, x[1])
+
+    def rows(found: list[tuple[list[int], list[tuple[float, object]]]], dkind: pa.DataType) -> pa.RecordBatch:
+        flat = [(asked[i][0], asked[i][1], doc, score) for who, best in found for i in who for score, doc in best]
+        cols = list(zip(*flat, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), qkind, dkind, pa.float64()), strict=True)], ["list", "question_id", "doc_id", "score"])
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, object]]] = [[] for _ in groups]
+        dkind = None
+        for whole in it:
+            for begin in range(0, whole.num_rows, step):
+                ids, size, places, counts = whole.slice(begin, step).columns
+                dkind = ids.type
+                size = size.to_numpy()
+                row = np.repeat(np.arange(len(size)), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+                at, tf = places.flatten().to_numpy(), counts.flatten().to_numpy()
+                weight = np.zeros((len(idf), len(size)))
+                # the counts of a doc_id that stands in several rows add up first
+                np.add.at(weight, (at, row), tf)
+                at, row = np.nonzero(weight)
+                tf = weight[at, row]
+                weight[at, row] = idf[at] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / avg)))
+                every = []
+                for g, (terms, who) in enumerate(groups):
+                    score = np.floor(weight[terms].sum(axis=0) * 1e6 + 0.5) / 1e6
+                    least = best[g][-1][0] if k is not None and len(best[g]) == k else 0.0
+                    hit = np.flatnonzero((score > 0) & (score >= least))
+                    if k is not None and len(hit) > k:
+                        hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k]]
+                    if not len(hit):
+                        continue
+                    more = list(zip(score[hit].tolist(), ids.take(pa.array(hit)).to_pylist(), strict=True))
+                    if k is None:
+                        every.append((who, more))
+                    else:
+                        best[g] = sorted(best[g] + more, key=order)[:k]
+                if every:
+                    yield rows(every, dkind)
+        if dkind is not None and any(best):
+            yield rows([(who, b) for (_, who), b in zip(groups, best, strict=True)], dkind)
+
+    return f
 
 
 def bm25_lists(variants: Sequence[DataFrame], docs: DataFrame, k: int | None = None) -> DataFrame:
-    """(list, question_id, doc_id, score, rank): the k best documents (all, without k) for the questions of each variant."""
+    """(list, question_id, doc_id, score, rank): the k best documents (all, without k) for the questions of each variant.
+
+    The questions' terms are known to every task; the tasks score their own
+    documents and pass on the k best, so what is shuffled doesn't grow with the
+    documents that share a word with a question.
+    """
     terms = question_terms(variants)
-    held = postings(docs, terms)
-    stats = held.filter("term = ''").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    some = held.filter("term <> ''")
-    freq = some.groupBy("term").agg(F.count("*").alias("df"))
-    rows = terms.join(freq, "term").join(some, "term").crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = rows.groupBy("list", "question_id", "doc_id").agg(F.round(F.sum(idf * weight), 6).alias("score")).filter("score > 0")
+    held_terms: dict[tuple[int, object], set[str]] = {}
+    for r in terms.collect():
+        held_terms.setdefault((r["list"], r["question_id"]), set()).add(r["term"])
+    wanted = sorted(set().union(*held_terms.values()))
+    place = {t: i for i, t in enumerate(wanted)}
+    asked = [(i, q, np.array(sorted(place[t] for t in ts))) for (i, q), ts in held_terms.items()]
+    held = postings(docs, wanted)
+    stats = held.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+    df = np.zeros(len(wanted))
+    for r in held.select("doc_id", F.explode(F.array_distinct("places")).alias("place")).groupBy("place").agg(F.count("*").alias("df")).collect():
+        df[r["place"]] = r["df"]
+    idf = np.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
+    qkind, dkind = terms.schema["question_id"].dataType, docs.schema["doc_id"].dataType
+    scored = held.mapInArrow(_scored(asked, idf, stats["avg"] or 1.0, k, to_arrow_type(qkind)), f"list int, question_id {qkind.simpleString()}, doc_id {dkind.simpleString()}, score double")
     return scored if k is None else top(scored, k, ["list", "question_id"])
 
 
@@ -178,7 +261,7 @@ def rerank(fused: DataFrame, questions: DataFrame, docs: DataFrame, k: int, head
     """Orders the first ``head`` of each question by the share of its content tokens that the text has; the rest follows as fused."""
     ranked = cut(top(fused, 1 << 30)).withColumnRenamed("score", "fused")
     q = questions.select("question_id", X.content(X.tokens_any(F.col("question"))).alias("qc"))
-    first = ranked.filter(F.col("rank") <= head).join(docs.select("doc_id", "text"), "doc_id").join(q, "question_id")
+    first = few(ranked.filter(F.col("rank") <= head)).join(docs.select("doc_id", "text"), "doc_id").join(q, "question_id")
     overlap = F.round(F.size(F.array_intersect("qc", X.tokens_any(F.col("text")))) / F.greatest(F.size("qc"), F.lit(1)), 6)
     first = first.select("question_id", "doc_id", "fused", "rank", overlap.alias("score"))
     rest = ranked.filter(F.col("rank") > head).select("question_id", "doc_id", "fused", "rank", F.lit(-1.0).alias("score"))

@@ -7,6 +7,10 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FEW = 200_000
+"""Rows of keys and scores that are sent to every task, at most."""
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,6 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """The rows, cut; where there are no more than ``FEW`` a join sends them to the tasks, so that the other side, a table with its texts, stays where it lies."""
+    held = cut(df)
+    return F.broadcast(held) if held.count() <= FEW else held
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over as many tasks as there are cores, where their files make fewer: a few small ones. Inputs with more are left as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism

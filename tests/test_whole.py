@@ -59,3 +59,33 @@ def test_nearest_vectors_against_all_pairs(spark, monkeypatch, metric):
     df = spark.createDataFrame(rows + unfit, "vec_id bigint, embedding array<double>")
     got = retrieval.vector_top(df.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q")), df, 10, metric)
     assert {(r["question_id"], r["rank"], r["vec_id"]) for r in got.collect()} == want
+
+
+def shuffled(spark, f):
+    """The result of f, and the rows that were shuffled for it."""
+    sc = spark.sparkContext
+    none = sc._jvm.java.util.ArrayList()
+
+    def at():
+        stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    def settled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return at()
+
+    before = settled()
+    out = f()
+    return out, settled() - before
+
+
+def test_bm25_shuffles_no_more_than_the_documents(spark):
+    """Every document has a word of every question."""
+    n = 2000
+    docs = spark.createDataFrame([(i, f"common word {'rare' + str(i % 50)} " + "filler " * (i % 7)) for i in range(n)], "doc_id bigint, text string").repartition(4).localCheckpoint()
+    q = spark.createDataFrame([(i, f"common word rare{i}") for i in range(40)], "question_id bigint, question string")
+    got, rows = shuffled(spark, lambda: retrieval.bm25(q, docs, 3).collect())
+    assert len(got) == 120
+    short = lambda i: sorted((d for d in range(n) if d % 50 == i), key=lambda d: (d % 7, d))[:3]
+    assert {(r["question_id"], r["rank"]): r["doc_id"] for r in got} == {(i, p): d for i in range(40) for p, d in enumerate(short(i), 1)}
+    assert rows < 2 * n
