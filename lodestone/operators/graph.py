@@ -55,8 +55,8 @@ def neighbors(needles: DataFrame, edge: DataFrame) -> DataFrame:
 
 
 def neighbors_of(needles: DataFrame, units: DataFrame) -> DataFrame:
-    """``neighbors`` of the edges of units, without making them all: only the chosen labels' pairs are counted."""
-    held = units.select(F.array_sort(F.filter(X.content(X.tokens(F.col("text"))), lambda w: F.length(w) >= LETTERS)).alias("w")).filter(F.size("w") > 1)
+    """``neighbors`` of the edges of units, without making them all: only the chosen labels' pairs are counted. The units' terms, read twice, are cut, so texts are cut in chunks once."""
+    held = cut(units.select(F.array_sort(F.filter(X.content(X.tokens(F.col("text"))), lambda w: F.length(w) >= LETTERS)).alias("w")).filter(F.size("w") > 1))
     labels = held.select(F.explode("w").alias("label")).distinct()
     chosen = labels.join(needles, F.col("label").contains(F.col("needle"))).groupBy("needle").agg(F.min("label").alias("label"))
     own = held.select("w", F.explode("w").alias("label")).join(F.broadcast(chosen.select("label").distinct()), "label")  # a label a needle at most

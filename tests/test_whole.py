@@ -89,3 +89,16 @@ def test_bm25_shuffles_no_more_than_the_documents(spark):
     short = lambda i: sorted((d for d in range(n) if d % 50 == i), key=lambda d: (d % 7, d))[:3]
     assert {(r["question_id"], r["rank"]): r["doc_id"] for r in got} == {(i, p): d for i in range(40) for p, d in enumerate(short(i), 1)}
     assert rows < 2 * n
+
+
+def test_neighbors_of_reads_the_units_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def f(it):
+        for b in it:
+            seen.add(b.num_rows)
+            yield b
+
+    units = spark.createDataFrame([(i, "alpha beta gamma") for i in range(10)], "unit bigint, text string").mapInArrow(f, "unit bigint, text string")
+    got = graph.neighbors_of(spark.createDataFrame([("beta",)], "needle string"), units).collect()
+    assert {(r["neighbor"], r["weight"]) for r in got} == {("alpha", 10), ("gamma", 10)} and seen.value == 10
