@@ -4,12 +4,13 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import tables as T
 from lodestone.functions import text as X
-from lodestone.operators import graph, retrieval
+from lodestone.operators import conflict, graph, retrieval
 from lodestone.plans import catalogue
 from lodestone.plans.catalogue import QUERIES
 
@@ -102,3 +103,11 @@ def test_neighbors_of_reads_the_units_once(spark):
     units = spark.createDataFrame([(i, "alpha beta gamma") for i in range(10)], "unit bigint, text string").mapInArrow(f, "unit bigint, text string")
     got = graph.neighbors_of(spark.createDataFrame([("beta",)], "needle string"), units).collect()
     assert {(r["neighbor"], r["weight"]) for r in got} == {("alpha", 10), ("gamma", 10)} and seen.value == 10
+
+
+def test_conflicts_of_one_group_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(conflict, "BLOCK", 40)
+    prices = [i % 3 for i in range(300)]
+    df = spark.createDataFrame([("g", i, f"The list price of large parts is {p} usd") for i, p in enumerate(prices)], "group string, position int, text string")
+    sizes = [x for x in conflict.conflicts(df).mapInArrow(lambda it: [pa.RecordBatch.from_pydict({"n": [sum(b.num_rows for b in it)]})], "n bigint").toPandas()["n"] if x]
+    assert sum(sizes) == sum(a != b for a, b in combinations(prices, 2)) and max(sizes) < sum(sizes) / 2
