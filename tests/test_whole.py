@@ -111,3 +111,5 @@ def test_conflicts_of_one_group_are_spread_over_tasks(spark, monkeypatch):
     df = spark.createDataFrame([("g", i, f"The list price of large parts is {p} usd") for i, p in enumerate(prices)], "group string, position int, text string")
     sizes = [x for x in conflict.conflicts(df).mapInArrow(lambda it: [pa.RecordBatch.from_pydict({"n": [sum(b.num_rows for b in it)]})], "n bigint").toPandas()["n"] if x]
     assert sum(sizes) == sum(a != b for a, b in combinations(prices, 2)) and max(sizes) < sum(sizes) / 2
+    lines = [r["line"] for r in conflict.describe(conflict.conflicts(df)).collect()]
+    assert sorted(lines) == sorted(f"value: {i} vs {j}" for i, j in combinations(range(300), 2) if prices[i] != prices[j])
