@@ -25,16 +25,20 @@ def nodes(units: DataFrame) -> DataFrame:
     return unit_terms(units).groupBy(F.col("term").alias("label")).agg(F.count("*").alias("n_units"), F.min("unit").alias("first_unit"))
 
 
+def terms_of(units: DataFrame) -> DataFrame:
+    """(w): the terms of ``unit_terms`` of each unit, in order."""
+    return units.select(F.array_sort(F.filter(X.content(X.tokens(F.col("text"))), lambda w: F.length(w) >= LETTERS)).alias("w"))
+
+
 def edges(units: DataFrame) -> DataFrame:
     """(source, target, weight): pairs of terms by the units that hold both. Pairs are made within a unit's row, so only their counts are shuffled; units are chunks, which bounds a row's pairs."""
-    held = units.select(F.array_sort(F.filter(X.content(X.tokens(F.col("text"))), lambda w: F.length(w) >= LETTERS)).alias("w"))
-    first = held.select("w", F.posexplode("w").alias("i", "source"))
+    first = terms_of(units).select("w", F.posexplode("w").alias("i", "source"))
     pairs = first.select("source", F.explode(F.slice("w", F.col("i") + 2, F.size("w"))).alias("target"))
     return pairs.groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
 def strength(edge: DataFrame) -> DataFrame:
-    """(label, n_neighbors, weight) of each node that has an edge."""
+    """(label, n_neighbors, weight) of each node that has an edge; of units without the edges: ``comention.strength``."""
     ends = edge.select(F.col("source").alias("label"), "weight").unionByName(edge.select(F.col("target").alias("label"), "weight"))
     return ends.groupBy("label").agg(F.count("*").alias("n_neighbors"), F.sum("weight").alias("weight"))
 
@@ -56,7 +60,7 @@ def neighbors(needles: DataFrame, edge: DataFrame) -> DataFrame:
 
 def neighbors_of(needles: DataFrame, units: DataFrame) -> DataFrame:
     """``neighbors`` of the edges of units, without making them all: only the chosen labels' pairs are counted. The units' terms, read twice, are cut, so texts are cut in chunks once."""
-    held = cut(units.select(F.array_sort(F.filter(X.content(X.tokens(F.col("text"))), lambda w: F.length(w) >= LETTERS)).alias("w")).filter(F.size("w") > 1))
+    held = cut(terms_of(units).filter(F.size("w") > 1))
     labels = held.select(F.explode("w").alias("label")).distinct()
     chosen = labels.join(needles, F.col("label").contains(F.col("needle"))).groupBy("needle").agg(F.min("label").alias("label"))
     own = held.select("w", F.explode("w").alias("label")).join(F.broadcast(chosen.select("label").distinct()), "label")  # a label a needle at most

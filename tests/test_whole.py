@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import tables as T
 from lodestone.functions import text as X
-from lodestone.operators import conflict, graph, retrieval
+from lodestone.operators import comention, conflict, graph, retrieval
 from lodestone.plans import catalogue
 from lodestone.plans.catalogue import QUERIES
 
@@ -113,3 +113,20 @@ def test_conflicts_of_one_group_are_spread_over_tasks(spark, monkeypatch):
     assert sum(sizes) == sum(a != b for a, b in combinations(prices, 2)) and max(sizes) < sum(sizes) / 2
     lines = [r["line"] for r in conflict.describe(conflict.conflicts(df)).collect()]
     assert sorted(lines) == sorted(f"value: {i} vs {j}" for i, j in combinations(range(300), 2) if prices[i] != prices[j])
+
+
+def test_strength_shuffles_no_pairs(spark):
+    r = np.random.default_rng(1)
+    words = [f"word{i}" for i in range(900)]
+    texts = [" ".join({words[int(i)] for i in r.zipf(1.3, 150) if i < 900} | ({f"only{n}", f"lone{n}"} if n % 3 == 0 else set())) for n in range(400)] + ["", "single", None]
+    units = spark.createDataFrame(list(enumerate(texts)), "unit bigint, text string").repartition(4).localCheckpoint()
+    edge = graph.edges(units).localCheckpoint()
+    want = sorted(tuple(x) for x in graph.strength(edge).collect())
+    for head in (1, 40, comention.HEAD):
+        got = comention.strength(graph.terms_of(units), head).collect()
+        assert sorted((x["label"], x["n_neighbors"], x["weight"]) for x in got) == want
+    docs = units.select(F.col("unit").alias("doc_id"), "text").repartition(4)
+    folder = f"{retrieval.cut(docs).sparkSession.sparkContext.getCheckpointDir()}/strength"
+    docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    got, rows = shuffled(spark, lambda: QUERIES["comention_strength_chunks"](spark, folder).collect())
+    assert sorted(tuple(x) for x in got) == want and rows < edge.count() / 2
