@@ -130,3 +130,14 @@ def test_strength_shuffles_no_pairs(spark):
     docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
     got, rows = shuffled(spark, lambda: QUERIES["comention_strength_chunks"](spark, folder).collect())
     assert sorted(tuple(x) for x in got) == want and rows < edge.count() / 2
+
+
+def test_near_duplicates_shuffle_few_of_the_tokens(spark, monkeypatch):
+    monkeypatch.setattr(conflict, "KNOWN", 20)
+    r = np.random.default_rng(4)
+    base = [" ".join(f"w{int(x)}" for x in r.integers(0, 3000, 200)) for _ in range(150)]
+    texts = base + [b + " extra" for b in base[:9]] + base[:2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4).localCheckpoint()
+    got, rows = shuffled(spark, lambda: conflict.near_duplicates(docs).collect())
+    assert sorted((x["doc_id"], x["duplicate_of"], x["reason"]) for x in got) == sorted([(150 + i, i, "near") for i in range(9)] + [(159 + i, i, "exact") for i in range(2)])
+    assert rows < 2 * sum(len(set(t.split())) for t in texts)
