@@ -7,8 +7,9 @@ for all questions and all variants of them.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,13 @@ def question_terms(variants: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+def tokens_of(toks: pa.Array, rest: pa.Array) -> pa.Array:
+    """The tokens of all texts, from the columns of ``X.tokens_or_text``."""
+    if rest.null_count == len(rest):
+        return toks
+    return pa.array([t if r is None else X.tokenize(r) for t, r in zip(toks.to_pylist(), rest.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+
 def postings(docs: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """(doc_id, len, places, counts): of each document its tokens, and which of the wanted terms it holds how often, by their places in ``wanted``.
 
@@ -58,8 +66,7 @@ def postings(docs: DataFrame, wanted: Sequence[str]) -> DataFrame:
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids, toks, rest = b.columns
-            if rest.null_count < len(rest):
-                toks = pa.array([t if r is None else X.tokenize(r) for t, r in zip(toks.to_pylist(), rest.to_pylist(), strict=True)], pa.list_(pa.string()))
+            toks = tokens_of(toks, rest)
             size = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             at = pc.fill_null(pc.index_in(toks.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             key = np.repeat(np.arange(len(size)), size) * n + at
@@ -212,12 +219,37 @@ def vector_top(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2
 DIM = 64
 
 
+@lru_cache(1 << 18)
+def _place(token: str) -> int:
+    return hashlib.sha1(token.encode("utf-8", "replace")).digest()[-1]
+
+
 def embedded(rows: DataFrame, dim: int = DIM) -> DataFrame:
-    """(id, v) of (id, text): the embedder without a model. A token's place is its SHA-1 modulo ``dim``, a power of two up to 256; counts are scaled to length 1. A text without a token has no vector."""
-    at = F.conv(F.substring(F.sha1(F.col("t").cast("binary")), 39, 2), 16, 10).cast("int") % dim
-    each = rows.select("id", F.explode(X.tokens_any(F.col("text"))).alias("t")).groupBy("id", at.alias("at")).agg(F.count("*").cast("double").alias("n"))
-    held = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)) / F.col("norm")).alias("v"))
+    """(id, v) of (id, text): the embedder without a model. A token's place is its SHA-1 modulo ``dim``, a power of two up to 256; counts are scaled to length 1. A text without a token has no vector.
+
+    A text's tokens are counted in its own row; what is shuffled is a row of
+    counts a text, for those of an id that stands in several rows add up.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for begin in range(0, whole.num_rows, 1024):
+                ids, toks, rest = whole.slice(begin, 1024).columns
+                toks = tokens_of(toks, rest)
+                size = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False)
+                terms = toks.flatten().dictionary_encode()
+                at = np.array([_place(t) % dim for t in terms.dictionary.to_pylist()], np.int64)[terms.indices.to_numpy()]
+                n = np.bincount(np.repeat(np.arange(len(size)), size) * dim + at, minlength=len(size) * dim)
+                some = np.flatnonzero(size)
+                n = pa.array(n.reshape(-1, dim)[some].ravel(), pa.int32())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * dim, pa.int32()), n)], ["id", "n"])
+
+    toks, rest = X.tokens_or_text(F.col("text"))
+    each = rows.select("id", toks.alias("t"), rest.alias("rest")).mapInArrow(f, f"id {kind}, n array<int>").groupBy("id").agg(F.collect_list("n").alias("each"))
+    total = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate("each", F.lit(0.0), lambda s, n: s + n[i]))
+    held = each.select("id", total.alias("n")).withColumn("norm", F.sqrt(F.aggregate("n", F.lit(0.0), lambda s, n: s + n * n)))
+    return held.select("id", F.transform("n", lambda n: n / F.col("norm")).alias("v"))
 
 
 def score_of(distance: Column) -> Column:

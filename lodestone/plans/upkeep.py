@@ -12,7 +12,7 @@ from lodestone.plans import sql as S
 from lodestone.plans.catalogue import _CONTRARY, _EXCHANGES, _PAGES, _TERMS, K, _candidates, _hits, _links, _log, _manifest, _tiers, _was, _wiki_units, conflict_pairs, last_sentence, query, questions, table
 from lodestone.plans.catalogue import _COST
 from lodestone.sources import extract
-from lodestone.sources.shared import few
+from lodestone.sources.shared import cut, few
 
 # scalars
 
@@ -76,8 +76,8 @@ SELECT question_id, doc_id, distance, rank FROM r WHERE rank <= {K}"""
 
 @query(_CORPUS_ASK)
 def corpus_ask(spark, d):
-    """Documents and questions embedded, the nearest by cosine."""
-    docs = embedded(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("vec_id"), F.col("v").alias("embedding"))
+    """Documents and questions embedded, the nearest by cosine. The documents' vectors are cut: the search counts them and then reads them."""
+    docs = cut(embedded(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("vec_id"), F.col("v").alias("embedding")))
     q = embedded(questions(spark, d), "question_id", "question").select(F.col("id").alias("question_id"), F.col("v").alias("q"))
     return retrieval.vector_top(q, docs, K, "cosine", retrieval.DIM).select("question_id", F.col("vec_id").alias("doc_id"), "distance", "rank")
 

@@ -1,5 +1,6 @@
 """Queries over whole tables that have no SQL, against brute force."""
 
+import hashlib
 from collections import Counter
 from itertools import combinations
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import tables as T
 from lodestone.functions import text as X
 from lodestone.operators import comention, conflict, graph, retrieval
-from lodestone.plans import catalogue
+from lodestone.plans import catalogue, upkeep  # noqa: F401, the second adds to the first's queries
 from lodestone.plans.catalogue import QUERIES
 
 
@@ -141,3 +142,21 @@ def test_near_duplicates_shuffle_few_of_the_tokens(spark, monkeypatch):
     got, rows = shuffled(spark, lambda: conflict.near_duplicates(docs).collect())
     assert sorted((x["doc_id"], x["duplicate_of"], x["reason"]) for x in got) == sorted([(150 + i, i, "near") for i in range(9)] + [(159 + i, i, "exact") for i in range(2)])
     assert rows < 2 * sum(len(set(t.split())) for t in texts)
+
+
+def test_embedding_shuffles_one_row_a_text(spark, tmp_path):
+    """A text of many tokens, and texts of one id, whose counts add up."""
+    texts = [(i, f"{' '.join(f'w{i * k % 211}' for k in range(1, 90))} Ünï 東京都") for i in range(150)]
+    rows = [*texts, (7, "more of seven"), (7, None), (900, ""), (901, None), (None, "of no id")]
+    docs = spark.createDataFrame(rows, "id bigint, text string").repartition(3).localCheckpoint()
+    got, moved = shuffled(spark, lambda: {r["id"]: r["v"] for r in retrieval.embedded(docs).collect()})
+    want = {}
+    for i, t in rows:
+        for w in X.tokenize(t or ""):
+            want.setdefault(i, np.zeros(64))[hashlib.sha1(w.encode()).digest()[-1] % 64] += 1
+    assert set(got) == set(want) and all(np.array_equal(got[i], n / np.sqrt((n * n).sum())) for i, n in want.items())
+    assert moved <= len(rows)
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(texts[:3], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got, moved = shuffled(spark, lambda: QUERIES["corpus_ask"](spark, str(tmp_path)).collect())
+    assert {r["question_id"]: r["doc_id"] for r in got if r["rank"] == 1} == {0: 0, 1: 1, 2: 2} and moved < 4 * len(texts)
