@@ -6,7 +6,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
@@ -64,9 +64,11 @@ def detect(text: str, default: str = "en") -> tuple[str, float, bool]:
     return lang, share, share >= RELIABLE
 
 
-@F.pandas_udf(StructType([StructField("language", StringType()), StructField("confidence", DoubleType()), StructField("reliable", BooleanType())]))
-def detected(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([detect(t or "") for t in text], columns=["language", "confidence", "reliable"])
+@F.arrow_udf(StructType([StructField("language", StringType()), StructField("confidence", DoubleType()), StructField("reliable", BooleanType())]))
+def detected(text: pa.Array) -> pa.Array:
+    """``detect`` as a struct. Of a batch one text at a time is a Python object."""
+    cols = list(zip(*(detect(t.as_py() or "") for t in text), strict=True)) or [()] * 3
+    return pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.string(), pa.float64(), pa.bool_()), strict=True)], ["language", "confidence", "reliable"])
 
 
 def requested(explicit: Column, found: Column, conversation: Column, default: str = "en") -> Column:

@@ -1,6 +1,7 @@
 """Queries over whole tables that have no SQL, against brute force."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import tables as T
 from lodestone.functions import text as X
-from lodestone.operators import comention, conflict, graph, retrieval
+from lodestone.operators import comention, conflict, graph, language, retrieval
 from lodestone.plans import catalogue, upkeep  # noqa: F401, the second adds to the first's queries
 from lodestone.plans.catalogue import QUERIES
 
@@ -160,3 +161,18 @@ def test_embedding_shuffles_one_row_a_text(spark, tmp_path):
     spark.createDataFrame(texts[:3], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got, moved = shuffled(spark, lambda: QUERIES["corpus_ask"](spark, str(tmp_path)).collect())
     assert {r["question_id"]: r["doc_id"] for r in got if r["rank"] == 1} == {0: 0, 1: 1, 2: 2} and moved < 4 * len(texts)
+
+
+def test_detection_holds_one_text_at_a_time(spark):
+    texts = ["der Hund und das Haus", "", None, "12 !", "привет abc", "東京 ab", "abжп", "le chat\x1fet la"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert {r["i"]: tuple(r["d"]) for r in df.select("i", language.detected("text").alias("d")).collect()} == {i: language.detect(t or "") for i, t in enumerate(texts)}
+    batch = pa.array(["und der " * 2000 + str(i) for i in range(400)])
+    tracemalloc.start()
+    try:
+        got = language.detected.func(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.to_pylist() == [{"language": "de", "confidence": 1.0, "reliable": True}] * 400 and peak < batch.nbytes / 2
+    assert len(language.detected.func(batch[:0])) == 0
