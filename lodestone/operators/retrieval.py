@@ -26,6 +26,8 @@ RRF_K = 60
 RERANK_HEAD = 50
 BLOCK, SLACK = 4096, 2e-6
 """Vectors of a block at most, about; what the rounding of distances to six digits may change their order by, and more."""
+STEP = 1024
+"""Texts whose tokens a task counts at a time."""
 
 
 def top(scored: DataFrame, k: int, by: str | Sequence[str] = "question_id", item: str = "doc_id", least: bool = False) -> DataFrame:
@@ -64,16 +66,17 @@ def postings(docs: DataFrame, wanted: Sequence[str]) -> DataFrame:
     values = pa.array(wanted, pa.string())
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ids, toks, rest = b.columns
-            toks = tokens_of(toks, rest)
-            size = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = pc.fill_null(pc.index_in(toks.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            key = np.repeat(np.arange(len(size)), size) * n + at
-            key, counts = np.unique(key[at >= 0], return_counts=True)
-            ends = pa.array(np.searchsorted(key, np.arange(len(size) + 1) * n), pa.int32())
-            lists = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (key % n, counts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size), *lists], ["doc_id", "len", "places", "counts"])
+        for whole in it:
+            for begin in range(0, whole.num_rows, STEP):
+                ids, toks, rest = whole.slice(begin, STEP).columns
+                toks = tokens_of(toks, rest)
+                size = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                at = pc.fill_null(pc.index_in(toks.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                key = np.repeat(np.arange(len(size)), size) * n + at
+                key, counts = np.unique(key[at >= 0], return_counts=True)
+                ends = pa.array(np.searchsorted(key, np.arange(len(size) + 1) * n), pa.int32())
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (key % n, counts))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size), *lists], ["doc_id", "len", "places", "counts"])
 
     toks, rest = X.tokens_or_text(F.col("text"))
     each = docs.select("doc_id", toks.alias("t"), rest.alias("rest")).mapInArrow(f, f"doc_id {kind}, len bigint, places array<int>, counts array<int>")
@@ -234,8 +237,8 @@ def embedded(rows: DataFrame, dim: int = DIM) -> DataFrame:
 
     def f(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for begin in range(0, whole.num_rows, 1024):
-                ids, toks, rest = whole.slice(begin, 1024).columns
+            for begin in range(0, whole.num_rows, STEP):
+                ids, toks, rest = whole.slice(begin, STEP).columns
                 toks = tokens_of(toks, rest)
                 size = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False)
                 terms = toks.flatten().dictionary_encode()

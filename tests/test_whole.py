@@ -176,3 +176,12 @@ def test_detection_holds_one_text_at_a_time(spark):
         tracemalloc.stop()
     assert got.to_pylist() == [{"language": "de", "confidence": 1.0, "reliable": True}] * 400 and peak < batch.nbytes / 2
     assert len(language.detected.func(batch[:0])) == 0
+
+
+def test_bm25_counts_tokens_in_steps(spark, monkeypatch):
+    """A document's rows, one of them in other letters, lie in several steps of a batch."""
+    monkeypatch.setattr(retrieval, "STEP", 2)
+    rows = [(1, "alpha beta"), (2, ""), (3, None), (1, "alpha привет"), (4, "beta beta gamma"), (5, "東京 alpha"), (1, "gamma")]
+    held = retrieval.postings(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), ["alpha", "beta", "привет"])
+    got = {r["doc_id"]: sorted(zip(r["places"], r["counts"], strict=True)) for r in held.collect()}
+    assert got == {1: [(0, 1), (0, 1), (1, 1), (2, 1)], 2: [], 3: [], 4: [(1, 2)], 5: [(0, 1)]}
