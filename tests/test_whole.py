@@ -185,3 +185,29 @@ def test_bm25_counts_tokens_in_steps(spark, monkeypatch):
     held = retrieval.postings(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), ["alpha", "beta", "привет"])
     got = {r["doc_id"]: sorted(zip(r["places"], r["counts"], strict=True)) for r in held.collect()}
     assert got == {1: [(0, 1), (0, 1), (1, 1), (2, 1)], 2: [], 3: [], 4: [(1, 2)], 5: [(0, 1)]}
+
+
+@pytest.fixture(scope="module")
+def common_words(spark, tmp_path_factory):
+    """Tables in which every document has all words of every question; the shortest documents rank first."""
+    d = tmp_path_factory.mktemp("common")
+    words = [f"common{i}" for i in range(12)]
+    docs = [(i, " ".join(words) + " filler" * (i % 199), "en", f"src{i % 3}") for i in range(2000)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").repartition(8).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(2000)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(i, f"{' '.join(words[: i + 3])}. {' '.join(words[i:])}.") for i in range(5)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "authority_order", "relevance_gate", "score_spread", "verify_report", "weakest_tier", "evaluate_report", "refusal_reasons"])
+def test_ranked_queries_shuffle_no_words(spark, common_words, name):
+    """A row a document and a label, and the few candidates, whatever the words that documents and questions share."""
+    got, rows = shuffled(spark, lambda: QUERIES[name](spark, common_words).collect())
+    best = sorted(range(2000), key=lambda i: (i % 199, i))[:10]
+    if name == "bm25_topk":
+        assert {(r["question_id"], r["rank"]): r["doc_id"] for r in got} == {(q, p): i for q in range(5) for p, i in enumerate(best, 1)}
+    elif name == "authority_order":
+        assert {(r["question_id"], r["place"]): r["doc_id"] for r in got} == {(q, p): i for q in range(5) for p, i in enumerate(sorted(best, key=lambda i: -(i % 2)), 1)}
+    else:
+        assert len(got) == {"relevance_gate": 50, "evaluate_report": 1, "refusal_reasons": 1}.get(name, 5)
+    assert rows < 3 * 2000
